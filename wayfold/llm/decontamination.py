@@ -40,6 +40,8 @@ GRAM = 5
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: About 200 bytes each: 40 MB of broadcast at most.
 BROADCAST_WINDOWS = 200_000
+#: The position of a document's marker row: every word about it is null, so its window hash is the bare seed.
+MARKER = -64
 
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
@@ -101,22 +103,32 @@ def _windows(prepared: DataFrame, length: int) -> DataFrame:
 
 
 def _hits(prepared: DataFrame, windows: DataFrame, length: int, broadcast_windows: int) -> DataFrame:
-    """A row for each met window, and a marker row (``at`` = -1) for each document row."""
+    """A row for each met window, and a marker row for each document row.
+
+    The hashes are computed outside any condition, so that generated code
+    shares their parts; the marker's hash is kept from the benchmark's side.
+    """
     met, whole = _window_hashes(length)
-    last = F.greatest(F.size("words") - length, F.lit(-1))
+    marker = F.array(F.lit(MARKER))
+    positions = F.when(F.size("words") >= length, F.concat(marker, F.sequence(F.lit(0), F.size("words") - length))).otherwise(marker)
+    bare = F.xxhash64(F.lit(None).cast("long"))
+    windows = windows.where(F.col("met") != bare)
+    # in this form no words are joined for rows that meet nothing
+    met_here = F.when(F.col("whole") == F.col("whole_b"), _spelled(length) == F.col("spelled_b")).otherwise(F.lit(False))
+    kept = F.when(F.col("at") == MARKER, F.lit(True)).when(F.col("whole_b").isNull(), F.lit(False)).otherwise(met_here)
     side = F.broadcast(windows) if windows.count() <= broadcast_windows else windows
     return (
-        prepared.select("key", "text_hash", "n_words", "words", "hashes", F.explode(F.sequence(F.lit(-1), last)).alias("at"))
-        .select("key", "text_hash", "n_words", "words", "at", F.when(F.col("at") >= 0, met).alias("met"), whole.alias("whole"))
+        prepared.select("key", "text_hash", "n_words", "words", "hashes", F.explode(positions).alias("at"))
+        .select("key", "text_hash", "n_words", "words", "at", met.alias("met"), whole.alias("whole"))
         .join(side, "met", "left")
-        .where((F.col("at") == -1) | ((F.col("whole") == F.col("whole_b")) & (_spelled(length) == F.col("spelled_b"))))
+        .where(kept)
         .select(
             "key",
             "text_hash",
             "n_words",
             F.when(F.col("at") >= 0, F.struct("at", F.lit(length).alias("length"))).alias("hit"),
             F.when(F.col("at") >= 0, F.col("item")).alias("item"),
-            (F.col("at") == -1).cast("long").alias("rows"),
+            (F.col("at") == MARKER).cast("long").alias("rows"),
         )
     )
 
