@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from wayfold.plans import graph_queries, tag_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**tag_queries.QUERIES, **graph_queries.QUERIES}
+ORACLE_SQL: dict[str, str] = {**tag_queries.ORACLE_SQL, **graph_queries.ORACLE_SQL}
