@@ -40,7 +40,7 @@ BUCKETS = 1 << 13
 CENTROIDS = 4
 SAMPLE = 400
 SAMPLE_BYTES = 1 << 16
-REJECT = 0.5
+REJECT = 0.1
 UNKNOWN = "und"
 _OTHER = re.compile(r"[\W\d_]+")
 _CHUNK = 1 << 20
