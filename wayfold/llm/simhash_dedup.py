@@ -150,9 +150,10 @@ def deduplicate(documents: DataFrame, *, key: str = "doc_id", text: str = "text"
     kept_key, kept = fresh("_kept_key", documents.columns), fresh("_kept", documents.columns)
     keys = found.where(F.col("component_id").isNotNull()).select(F.col("component_id").alias(kept_key)).distinct()
     with_id = documents.join(keys, documents[key] == F.col(kept_key), "left_semi").dropDuplicates([key])
-    lone = found.where(F.col("component_id").isNull()).select("fp", "root").distinct()
+    fp, root = fresh("_kept_fp", documents.columns), fresh("_kept_root", documents.columns)
+    lone = found.where(F.col("component_id").isNull()).select(F.col("fp").alias(fp), F.col("root").alias(root)).distinct()
     mapped = fingerprint_column(documents.where(documents[key].isNull()), text, kept)
-    without = mapped.join(lone, mapped[kept] == lone["fp"]).dropDuplicates(["root"]).drop("fp", "root", kept)
+    without = mapped.join(lone, mapped[kept] == lone[fp]).dropDuplicates([root])
     return with_id.unionByName(without.select(*documents.columns))
 
 
