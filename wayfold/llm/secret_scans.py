@@ -6,8 +6,8 @@ The method's kind, ``random``: strings of 20 or more characters of the base64
 alphabets are cut into tokens of a public byte-level vocabulary.  Written
 language needs few tokens for its characters, random strings many, so a string
 with under ``CHARS_PER_TOKEN`` characters for each token is random.  Left out
-before that: digests of well-known lengths, UUIDs, numbers, and identifiers
-(strings of words in one case or in camel case, with separators).
+before that: digests of well-known lengths, UUIDs, numbers, and identifiers (strings
+that are mostly words in lower case, camel case or whole parts of capitals).
 
 Spans are code points, end exclusive; an ``assign`` span covers the whole
 match, from the name to the value's end.
@@ -39,8 +39,11 @@ LONG = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 DIGESTS = (32, 40, 56, 64, 96, 128)
 HEXADECIMAL = re.compile(r"[0-9a-fA-F]+")
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-#: Words in one case or capitalised, each with up to 4 digits after it; and separators.
-IDENTIFIER = re.compile(r"[+/_=-]*(?:(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[A-Za-z])?\d{0,4}[+/_=-]+)*(?:[A-Z]?[a-z]+|[A-Z]+)\d{0,4}[=_-]*|[\d+/_=-]+|(?:[A-Z]?[a-z]{2,}){2,}\d{0,4}")
+#: Words of an identifier: lower case or capitalised, or a whole part of capitals.
+IDENTIFIER_WORD = re.compile(r"[A-Z]?[a-z]{3,}|(?<![A-Za-z0-9])[A-Z]{2,}(?![A-Za-z0-9])")
+NUMBER = re.compile(r"[0-9+/_=-]+")
+#: Share of its characters that words make up in an identifier.
+WORDY = 0.6
 CHARS_PER_TOKEN = 2.2
 REDACTED = "[REDACTED]"
 
@@ -56,8 +59,12 @@ def vocabulary(path: str):
     return tiktoken.Encoding("secret-scans", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def is_identifier(value: str) -> bool:
+    return bool(NUMBER.fullmatch(value)) or sum(map(len, IDENTIFIER_WORD.findall(value))) >= WORDY * sum(map(str.isalnum, value))
+
+
 def is_random(value: str, encoding) -> bool:
-    if HEXADECIMAL.fullmatch(value) and len(value) in DIGESTS or UUID.fullmatch(value) or IDENTIFIER.fullmatch(value):
+    if HEXADECIMAL.fullmatch(value) and len(value) in DIGESTS or UUID.fullmatch(value) or is_identifier(value):
         return False
     return len(value) < CHARS_PER_TOKEN * len(encoding.encode_ordinary(value))
 

@@ -83,7 +83,7 @@ def _product(queries: np.ndarray, shard: np.ndarray) -> np.ndarray:
     if float(np.abs(queries).max()) * float(np.abs(shard).max()) * queries.shape[1] < 2**53:
         return (queries @ shard.T).astype(np.int64)
     whole = np.vectorize(int, otypes=[object])
-    return np.array(whole(queries).dot(whole(shard).T), dtype=np.int64)
+    return whole(queries).dot(whole(shard).T)
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,7 +102,7 @@ def _tiles(pairs: DataFrame, k: int) -> DataFrame:
                 scores = _product(np.frombuffer(row["q_matrix"], "<f8").reshape(len(q_ids), row["dim"]), np.frombuffer(row["matrix"], "<f8").reshape(len(ids), row["dim"]))
                 for q, line in zip(q_ids.tolist(), scores, strict=True):
                     others = np.flatnonzero(ids != q)
-                    own = line[others]
+                    own = line[others].astype(np.int64)  # a query's own row is gone: its square may be beyond a long
                     if len(own) > 4 * k:
                         least = np.partition(own, len(own) - k)[len(own) - k]
                         others, own = others[own >= least], own[own >= least]
