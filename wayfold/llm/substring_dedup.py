@@ -2,8 +2,9 @@
 
 Sentences end at line feeds and after ``.``, ``!`` or ``?`` before white space.
 A sentence of more than ``LONG`` words is cut on after the words that a hash of
-the word chooses (one in ``CUT``), so that passages without stops have cut
-points too, the same ones wherever they stand.
+the word chooses (one in ``CUT``), after a word's repetition and after ``MOST``
+words without a cut, so that passages without stops have cut points too; they
+are the same wherever the passage stands, from its first chosen word on.
 
 A span is the shortest run from a sentence on that has ``SENTENCES`` sentences
 and ``WORDS`` words at least; its hash is over its words (lower-cased, without
@@ -12,22 +13,23 @@ stays: in the document with the least id, there at the first place.  A sentence
 that any other one covers is removed.  So any passage of over 50 words that
 repeats loses its later copies, up to the incomplete sentences at its edges.
 
-Plan: one row (hash, id) for each distinct span of a document; the owner of a
-hash is an aggregate with partial sums; rows of hashes that others own are
-found by a join that may be split under skew, and gathered by document (as many
-as it has spans).  The documents meet their lists and cut their texts, which
-takes a place-by-place second look at whole texts but no positions in shuffles.
+Plan: one row (hash, id) for each distinct span of a document, written once to
+the shared checkpoint folder and read by both sides of the search: the owner of
+a hash is an aggregate with partial sums, and rows of hashes that others own
+are found by a join that may be split under skew, then gathered by document (as
+many as it has spans).  Only documents that lose something are cut anew.
 Hashes have 64 bits and decide alone; two different spans share one at odds of
 about the square of their number over 2^65.
 
-Cases: null texts stay null, with no sentences.  Rows that share an id are one
-document to the others: none of them loses sentences to another of them, and a
-null id is after all others.  Other columns are ignored.
+Cases: null texts stay null.  Rows that share an id are one document to the
+others: none of them loses sentences to another of them, and a null id is after
+all others.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -35,44 +37,83 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import in_bytes, table
+from wayfold.llm.common import checkpoint_folder, in_bytes, table
 
 SENTENCES = 3
 WORDS = 15
 LONG = 12
 CUT = 6
+MOST = 8
 _SENTENCE = re.compile(r"[^\n]*?[.!?]+(?=\s|$)|[^\n]+", re.MULTILINE)
-_TOKEN = re.compile(r"\S+")
 _WORD = re.compile(r"[^\W_]+")
 LAST = (1 << 63) - 1
 
 
-def sentences(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, its words joined by spaces) of every sentence with words."""
-    found = []
-    for m in _SENTENCE.finditer(text):
-        said = _WORD.findall(m[0].lower())
-        if len(said) <= LONG:
-            if said:
-                found.append((m.start(), m.end(), " ".join(said)))
-            continue
-        start, held = m.start(), []
-        for token in _TOKEN.finditer(m[0]):
-            own = _WORD.findall(token[0].lower())
-            held += own
-            if own and zlib.crc32(own[-1].encode()) % CUT == 0:
-                found.append((start, m.start() + token.end(), " ".join(held)))
-                start, held = m.start() + token.end(), []
-        if held:
-            found.append((start, m.end(), " ".join(held)))
-    return found
-
-
-def spans(found: list[tuple[int, int, str]]) -> list[tuple[int, int, int]]:
+class _Cuts(dict):
+    """Whether a long sentence is cut after a word; bounded."""
+
+    def __missing__(self, word: str) -> bool:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = found = zlib.crc32(word.encode()) % CUT == 0
+        return found
+
+
+_CUTS = _Cuts()
+
+
+def _lowered(text: str) -> str:
+    """Lower case with every character at its place."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c if len(c.lower()) > 1 else c.lower() for c in text)
+
+
+def _bounds(said: list[str]) -> list[int]:
+    """Ends of the pieces of a sentence's words."""
+    if len(said) <= LONG:
+        return [len(said)]
+    cuts, ends, last, before = _CUTS, [], 0, ""
+    for n, word in enumerate(said, 1):
+        if cuts[word] or before == word or n - last >= MOST:
+            ends.append(n)
+            last = n
+        before = word
+    return ends if last == len(said) else [*ends, len(said)]
+
+
+def spoken(text: str) -> list[tuple[str, int]]:
+    """(words joined by spaces, how many) of every sentence with words."""
+    out = []
+    for sentence in _SENTENCE.findall(_lowered(text)):
+        said = _WORD.findall(sentence)
+        if said:
+            at = 0
+            for end in _bounds(said):
+                out.append((" ".join(said[at:end]), end - at))
+                at = end
+    return out
+
+
+def places(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the same sentences, without a gap inside a long one."""
+    out = []
+    for m in _SENTENCE.finditer(_lowered(text)):
+        words = list(_WORD.finditer(m[0]))
+        if words:
+            at, bounds = m.start(), _bounds([w[0] for w in words])
+            for end in bounds:
+                stop = m.end() if end == len(words) else m.start() + words[end - 1].end()
+                out.append((at, stop))
+                at = stop
+    return out
+
+
+def spans(found: list[tuple[str, int]]) -> list[tuple[int, int, int]]:
     """(first sentence, end, hash) of every span."""
     import xxhash
 
-    sizes = [s.count(" ") + 1 for _, _, s in found]
+    digest = xxhash.xxh64_intdigest
+    words, sizes = [w for w, _ in found], [n for _, n in found]
     out, end, held = [], 0, 0
     for at in range(len(found)):
         while end < len(found) and (end - at < SENTENCES or held < WORDS):
@@ -80,64 +121,75 @@ def spans(found: list[tuple[int, int, str]]) -> list[tuple[int, int, int]]:
             end += 1
         if end - at < SENTENCES or held < WORDS:
             break
-        out.append((at, end, xxhash.xxh64_intdigest(" ".join([s for _, _, s in found[at:end]])) - (1 << 63)))
+        out.append((at, end, digest(" ".join(words[at:end])) - (1 << 63)))
         held -= sizes[at]
     return out
 
 
-def remaining(text: str, others: set[int]) -> tuple[str, int, int]:
-    """(text without covered sentences, sentences, removed); ``others``: hashes whose first span is elsewhere."""
-    found = sentences(text)
+def remaining(text: str, others: set[int]) -> tuple[str, int]:
+    """(text without covered sentences, sentences removed); ``others``: hashes whose first span is elsewhere."""
+    found = spoken(text)
     covered, seen = bytearray(len(found)), set()
     for at, end, value in spans(found):
         if value in others or value in seen:
             covered[at:end] = b"\1" * (end - at)
         seen.add(value)
     if not any(covered):
-        return text, len(found), 0
+        return text, 0
     kept, at = [], 0
-    for (start, end, _), gone in zip(found, covered, strict=True):
+    for (start, end), gone in zip(places(text), covered, strict=True):
         if gone:
             kept.append(text[at:start])
             at = end
-    return "".join([*kept, text[at:]]), len(found), sum(covered)
+    return "".join([*kept, text[at:]]), sum(covered)
 
 
 def span_rows(documents: DataFrame) -> DataFrame:
-    """hash and key (a long, null ids last) of each distinct span of each row of (key, text)."""
+    """hash, key and again (it is there more than once) of each distinct span of each row of (key, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in in_bytes(whole, "text"):
-                keys, hashes = [], []
+                keys, hashes, again = [], [], []
                 for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    own = {h for _, _, h in spans(sentences(text))} if text else ()
+                    every = [h for _, _, h in spans(spoken(text))] if text else []
+                    own = set(every)
                     hashes += own
                     keys += [key] * len(own)
-                yield pa.record_batch([pa.array(hashes, pa.int64()), pa.array(keys, pa.int64())], names=["hash", "key"])
+                    if len(own) == len(every):
+                        again += [False] * len(own)
+                    else:
+                        twice, seen = set(), set()
+                        for h in every:
+                            (twice if h in seen else seen).add(h)
+                        again += [h in twice for h in own]
+                yield pa.record_batch([pa.array(hashes, pa.int64()), pa.array(keys, pa.int64()), pa.array(again, pa.bool_())], names=["hash", "key", "again"])
 
-    return documents.mapInArrow(run, "hash long, key long")
+    return documents.mapInArrow(run, "hash long, key long, again boolean")
 
 
 def deduplicate(documents: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_sentences, n_removed, text (what remains) for each row."""
+    """key, n_removed (sentences), text (what remains) for each row."""
+    spark = documents.sparkSession
     source = documents.select(F.coalesce(documents[key].cast("long"), F.lit(LAST)).alias("key"), documents[text].alias("text"))
-    rows = span_rows(source)
+    path = f"{checkpoint_folder(spark)}/spans-{uuid.uuid4().hex}"
+    span_rows(source).write.parquet(path)
+    rows = spark.read.parquet(path)
     owners = rows.groupBy("hash").agg(F.min("key").alias("owner"), F.max("key").alias("last")).where("owner < last").select("hash", "owner")
-    lost = rows.join(owners, "hash").where("key > owner").groupBy("key").agg(F.collect_set("hash").alias("others"))
+    elsewhere = rows.select("hash", "key").join(owners, "hash").where("key > owner").select("key", "hash")
+    within = rows.where("again").select("key", F.lit(None).cast("long").alias("hash"))
+    lost = elsewhere.unionAll(within).groupBy("key").agg(F.collect_set("hash").alias("others"))
     joined = source.join(lost, "key", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in in_bytes(whole, "text"):
-                kept = []
-                for t, others in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                    kept.append((None, 0, 0) if t is None else remaining(t, set(others or ())))
-                left, n, gone = zip(*kept, strict=True)
-                yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(left, pa.string())], names=["key", "n_sentences", "n_removed", "text"])
-
-    cut = joined.select("key", "text", "others").mapInArrow(run, "key long, n_sentences long, n_removed long, text string")
-    return cut.select(F.when(F.col("key") != LAST, F.col("key")).alias(key), "n_sentences", "n_removed", F.col("text").alias(text))
+                kept = [(t, 0) if t is None or others is None else remaining(t, set(others)) for t, others in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+                left, gone = zip(*kept, strict=True)
+                yield pa.record_batch([batch.column(0), pa.array(gone, pa.int64()), pa.array(left, pa.string())], names=["key", "n_removed", "text"])
+
+    cut = joined.select("key", "text", "others").mapInArrow(run, "key long, n_removed long, text string")
+    return cut.select(F.when(F.col("key") != LAST, F.col("key")).alias(key), "n_removed", F.col("text").alias(text))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
