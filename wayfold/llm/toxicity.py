@@ -41,7 +41,7 @@ from wayfold.llm.common import in_bytes, table
 BUCKETS = 1 << 16
 DIMENSIONS = 8
 GRAMS = (3, 4, 5)
-SAMPLE = 2000
+SAMPLE = 1500
 SAMPLE_BYTES = 1 << 15
 STEPS = 25
 #: A gram's step is its slope over its curvature and this ridge: common grams don't drown the telling ones, rare ones stay near nothing.
@@ -94,25 +94,25 @@ def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def fit(texts: list[str], toxic: list[int]) -> tuple[np.ndarray, float]:
     """(a number for each bucket, the bias) of the trained model."""
-    bags = [words(t) for t in texts]
-    kept = [at for at, b in enumerate(bags) if b]
-    labels = np.array([toxic[at] for at in kept], np.float64)
-    if len(set(labels.tolist())) < 2:
-        return np.zeros(BUCKETS, np.float32), -50.0
     places: dict[str, int] = {}
-    flat = np.array([places.setdefault(w, len(places)) for at in kept for w in bags[at]], np.int64)
-    sizes = np.array([len(bags[at]) for at in kept], np.int64)
-    docs = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    bags, labels = [], []
+    for text, label in zip(texts, toxic, strict=True):
+        bag = np.array([places.setdefault(w, len(places)) for w in words(text)], np.int64)
+        if len(bag):
+            bags.append(bag)
+            labels.append(float(label))
+    if len(set(labels)) < 2:
+        return np.zeros(BUCKETS, np.float32), -50.0
+    labels, sizes = np.array(labels), np.array([len(b) for b in bags], np.int64)
     buckets, starts = grams(list(places))
     per_word = np.diff(np.append(starts, len(buckets)))
     gram_word = np.repeat(np.arange(len(places)), per_word)
-    word_doc = np.repeat(np.arange(len(kept)), sizes)
     # each (document, word) once, with its share of the document
-    pair, n = np.unique(word_doc * len(places) + flat, return_counts=True)
+    pair, n = np.unique(np.repeat(np.arange(len(bags)) * len(places), sizes) + np.concatenate(bags), return_counts=True)
     pair_doc, pair_word = pair // len(places), pair % len(places)
     damped = np.sqrt(n)
     share = (damped / (np.bincount(pair_doc, damped) + NEUTRAL)[pair_doc])[:, None]
-    docs = np.searchsorted(pair_doc, np.arange(len(kept)))
+    docs = np.searchsorted(pair_doc, np.arange(len(bags)))
     rng = np.random.default_rng(42)
     embeddings = np.zeros((BUCKETS, DIMENSIONS))
     softmax, bias = rng.normal(0, 0.5, (DIMENSIONS, 2)), np.zeros(2)
