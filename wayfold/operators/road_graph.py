@@ -7,7 +7,7 @@ sort and counts of earlier partitions, never from one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions import scalars
@@ -118,19 +118,18 @@ def best_highway(edge_rows: DataFrame) -> DataFrame:
 
 
 def turn_costs(pairs: DataFrame, coords: DataFrame, lengths: DataFrame) -> DataFrame:
-    """Curve cost of each pair of consecutive edges by the angle between them."""
+    """Curve cost of each pair of consecutive edges by the angle between them.
 
-    def at(name: str) -> DataFrame:
-        return coords.select(F.col("id").alias(name), F.col("lat_e6").alias(f"{name}_lat"), F.col("lon_e6").alias(f"{name}_lon"))
-
-    own = pairs.join(at("n0"), "n0").join(at("n1"), "n1").join(at("n2"), "n2")
-    first = lengths.select(F.col("from_id").alias("n0"), F.col("to_id").alias("n1"), F.col("distance_cm").alias("d1"))
-    second = lengths.select(F.col("from_id").alias("n1"), F.col("to_id").alias("n2"), F.col("distance_cm").alias("d2"))
-    own = own.join(first, ["n0", "n1"]).join(second, ["n1", "n2"])
+    Every edge's own angle is computed once, before the pairs meet it.
+    """
 
-    def east(p: str, q: str, d: str) -> Column:
-        return scalars.angle_to_east(F.col(f"{p}_lat"), F.col(f"{p}_lon"), F.col(f"{q}_lat"), F.col(f"{q}_lon"), F.col(d))
+    def at(end: str, name: str) -> DataFrame:
+        return coords.select(F.col("id").alias(end), F.col("lat_e6").alias(f"{name}_lat"), F.col("lon_e6").alias(f"{name}_lon"))
 
-    angle = scalars.turn_angle(east("n0", "n1", "d1"), east("n1", "n2", "d2"))
-    cost = F.when(F.col("n0") == F.col("n2"), F.lit(20_000)).otherwise(scalars.curve_cost(angle))
-    return own.select("n0", "n1", "n2", angle.alias("angle"), cost.alias("cost_ms"), scalars.compress_turn_cost(cost.cast("long")).alias("code"))
+    placed = lengths.join(at("from_id", "p"), "from_id").join(at("to_id", "q"), "to_id")
+    east = placed.select("from_id", "to_id", scalars.angle_to_east(F.col("p_lat"), F.col("p_lon"), F.col("q_lat"), F.col("q_lon"), F.col("distance_cm")).alias("east"))
+    first = east.select(F.col("from_id").alias("n0"), F.col("to_id").alias("n1"), F.col("east").alias("east_1"))
+    second = east.select(F.col("from_id").alias("n1"), F.col("to_id").alias("n2"), F.col("east").alias("east_2"))
+    turned = pairs.join(first, ["n0", "n1"]).join(second, ["n1", "n2"]).select("n0", "n1", "n2", scalars.turn_angle(F.col("east_1"), F.col("east_2")).alias("angle"))
+    priced = turned.withColumn("cost_ms", F.when(F.col("n0") == F.col("n2"), F.lit(20_000)).otherwise(scalars.curve_cost(F.col("angle"))))
+    return priced.select("n0", "n1", "n2", "angle", "cost_ms", scalars.compress_turn_cost(F.col("cost_ms").cast("long")).alias("code"))

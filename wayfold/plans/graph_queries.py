@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import scalars
 from wayfold.operators import road_graph, routing
-from wayfold.plans.tag_queries import LOCATED
+from wayfold.plans.tag_queries import _TURN, LOCATED, _steep
 from wayfold.sources import derived
 
 
@@ -387,3 +387,10 @@ ORACLE_SQL = {
 ORACLE_SQL["grf33_routes"] = ORACLE_SQL["grf30_single_source"].replace("LIMIT 5", "LIMIT 1").replace(
     "SELECT source, node, metric FROM best", "SELECT t.id AS req_id, metric FROM (SELECT id FROM nodes ORDER BY id DESC LIMIT 20) t LEFT JOIN best ON best.node = t.id"
 )
+ORACLE_SQL["grf17_turn_costs"] = f"""{E},
+g AS (SELECT from_id, to_id, distance_cm, CASE WHEN from_id = a THEN a_lat ELSE b_lat END AS p_lat, CASE WHEN from_id = a THEN a_lon ELSE b_lon END AS p_lon,
+        CASE WHEN from_id = a THEN b_lat ELSE a_lat END AS q_lat, CASE WHEN from_id = a THEN b_lon ELSE a_lon END AS q_lon FROM edges WHERE NOT inverted),
+x AS (SELECT from_id, to_id, {_steep('p', 'q')} AS east FROM g),
+t AS (SELECT e.from_id AS n0, e.to_id AS n1, f.to_id AS n2, CAST({_TURN.format(d='(f.east - e.east)')} AS INTEGER) AS angle FROM x e JOIN x f ON e.to_id = f.from_id),
+c AS (SELECT *, CAST(CASE WHEN n0 = n2 OR abs(angle) > 179 THEN 20000 WHEN abs(angle) <= 20 THEN 0 WHEN abs(angle) <= 60 THEN 500 WHEN abs(angle) <= 120 THEN 2000 ELSE 4000 END AS INTEGER) AS cost_ms FROM t)
+SELECT n0, n1, n2, angle, cost_ms, CAST(CASE cost_ms WHEN 0 THEN 0 WHEN 500 THEN 5 WHEN 2000 THEN 17 WHEN 4000 THEN 22 ELSE 33 END AS INTEGER) AS code FROM c"""

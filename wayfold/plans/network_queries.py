@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import scalars
 from wayfold.operators import clusters, geo, restrictions, road_graph, routing
-from wayfold.plans.graph_queries import COMP, E, _edges, _located, _weighted
+from wayfold.plans.graph_queries import COMP, WP, E, _edges, _located, _weighted
 from wayfold.plans.tag_queries import LOCATED, _segment
 from wayfold.sources import derived, layers
 
@@ -280,6 +280,7 @@ ORACLE_SQL = {
     "flt09_config_rules": """WITH w AS (SELECT DISTINCT upper(substr(n_name, 1, 2)) AS country FROM nation), k AS (SELECT country, unnest(['trunk', 'trunk_link', 'path']) AS key FROM w)
       SELECT country, key, CAST(CASE WHEN key LIKE 'trunk%' AND country IN (SELECT upper(substr(n_name, 1, 2)) FROM nation WHERE n_nationkey % 2 = 0) THEN 80 ELSE 10 END AS INTEGER) AS speed_max FROM k""",
     "win06_country_change": f"WITH {derived.WAYS}, x AS (SELECT way_id, pos, ref % 5 AS ncc, lead(ref % 5) OVER (PARTITION BY way_id ORDER BY pos) AS after FROM ways) SELECT * FROM x WHERE after <> ncc",
+    "win10_step_metric": f"{WP} SELECT way_id, pos, CAST(before_cm - lag(before_cm, 1, 0) OVER (PARTITION BY way_id ORDER BY pos) AS BIGINT) AS step FROM wp",
     "win09_border_positions": f"{E}, {_CL} SELECT x.cluster, from_id, to_id, CAST(row_number() OVER (PARTITION BY x.cluster ORDER BY from_id, to_id) - 1 AS INTEGER) AS place FROM edges JOIN cl x ON from_id = x.node JOIN cl y ON to_id = y.node WHERE NOT inverted AND x.cluster <> y.cluster",
     "set02_poi_union": f"WITH {derived.WAYS}, {derived.POINTS} SELECT 'n' AS kind, id, lat_e6, lon_e6 FROM points UNION ALL SELECT 'w', way_id, CAST(45000000 + (ref * 7919) % 3000000 AS INTEGER), CAST(6000000 + (ref * 104729) % 4000000 AS INTEGER) FROM ways WHERE pos = 1",
     "srt03_seeded_limit": "SELECT event_id AS id, md5(event_id || '-1') AS draw FROM events ORDER BY draw, id LIMIT 50",
