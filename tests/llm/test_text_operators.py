@@ -124,6 +124,22 @@ def test_random_strings():
     assert not any(secret_scans.is_random(c, encoding) for c in clean)
 
 
+def test_random_strings_of_small_alphabets_and_after_readable_text():
+    encoding = secret_scans.vocabulary(BYTES)
+    rng = random.Random(6)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    for alphabet in (lower + digits, lower + "234567", lower, upper, lower + upper + digits, lower + upper + digits + "+/"):
+        for before in ("", "client_credential=", "internal/services/payments/callback/signature/"):
+            for after in ("", "/internal/services/payments/callback/x9"):
+                keys = ["".join(rng.choice(alphabet) for _ in range(32)) for _ in range(100)]
+                assert sum(secret_scans.is_random(before + k + after, encoding) for k in keys) >= 95
+    key = "q7Zk2mX9vB4tR8nL1pW6sD3fG5hJ0cYa"
+    text = f"see internal/services/payments/{key} or client_credential={key}"
+    assert [text[a:b] for a, k, b in secret_scans.scan(text, encoding) if k == 3] == [key, key]
+    clean = ["internal/services/payments/callback/signature", "src/main/java/com/example/service/PaymentCallbackHandler", "https/api/2024/05/03/monthly-report-summary", "users/123e4567-e89b-12d3-a456-426614174000", "CO_FUTURE_NUMBER_AS_DEFAULT"]
+    assert not any(secret_scans.is_random(c, encoding) for c in clean)
+
+
 def test_redaction(spark):
     rows = [(1, "my token = abcdef123 and more"), (1, "my token = abcdef123 and more"), (2, None), (3, "clean"), (None, "")]
     got = sorted([(r.doc_id, r.text, r.n_chars, r.key) for r in secret_scans.redact_documents(frame(spark, rows), BYTES).collect()], key=repr)

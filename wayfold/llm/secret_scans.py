@@ -5,12 +5,19 @@ more), ``access`` (AKIA keys of 20 or more), ``hex`` (runs of 24 or more).
 The method's kind, ``random``: strings of 20 or more characters of the base64
 alphabets are cut into tokens of a public byte-level vocabulary.  Written
 language needs few tokens for its characters, random strings many, so a string
-with under ``CHARS_PER_TOKEN`` characters for each token is random.  Left out
-before that: digests of well-known lengths, UUIDs, numbers, and identifiers (strings
-that are mostly words in lower case, camel case or whole parts of capitals).
+with under ``CHARS_PER_TOKEN`` characters for each token is random.  Left out:
+digests of well-known lengths, UUIDs, numbers, and identifiers (strings that
+are mostly words).  A run of letters in lower case, camel case or capitals is a
+word if the vocabulary cuts it in ``WORD_CHARS`` characters a token or more.
+
+Parts between separators are told apart: readable ones (numbers, identifiers)
+at a string's ends are not judged with the rest, and where the rest is not
+random as a whole, its groups of parts with little readable text between them
+are judged, and then its long parts by themselves.
 
 Spans are code points, end exclusive; an ``assign`` span covers the whole
-match, from the name to the value's end.
+match, from the name to the value's end, a ``random`` span the random parts
+and ends that are too short to tell.
 
 Cases: a null text is an empty one.  Rows are independent: repeated rows, null
 ids and other columns make no difference.  Batches are sliced by bytes.
@@ -39,8 +46,16 @@ LONG = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 DIGESTS = (32, 40, 56, 64, 96, 128)
 HEXADECIMAL = re.compile(r"[0-9a-fA-F]+")
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-#: Words of an identifier: lower case or capitalised, or a whole part of capitals.
-IDENTIFIER_WORD = re.compile(r"[A-Z]?[a-z]{3,}|(?<![A-Za-z0-9])[A-Z]{2,}(?![A-Za-z0-9])")
+#: A UUID is one part.
+PART = re.compile(rf"(?<![A-Za-z0-9]){UUID.pattern}(?![A-Za-z0-9])|[A-Za-z0-9]+")
+#: Runs of letters that may be words: lower case or capitalised, or capitals.
+LETTERS = re.compile(r"[A-Z]?[a-z]{3,}|[A-Z]{3,}(?![a-z])|[A-Z]{3,}(?=[A-Z][a-z])")
+WORD_CHARS = 3.0
+LEAST = 20
+#: Letters and digits outside words that a random string has.
+UNREADABLE = 16
+#: Characters between parts of one group.
+NEAR = 8
 NUMBER = re.compile(r"[0-9+/_=-]+")
 #: Share of its characters that words make up in an identifier.
 WORDY = 0.6
@@ -59,14 +74,58 @@ def vocabulary(path: str):
     return tiktoken.Encoding("secret-scans", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def is_identifier(value: str) -> bool:
-    return bool(NUMBER.fullmatch(value)) or sum(map(len, IDENTIFIER_WORD.findall(value))) >= WORDY * sum(map(str.isalnum, value))
+def _is_word(run: str, encoding) -> bool:
+    """Whether the vocabulary knows a run of letters, within a text or after a blank."""
+    low = run.lower()
+    return len(low) >= WORD_CHARS * min(len(encoding.encode_ordinary(low)), len(encoding.encode_ordinary(" " + low)))
 
 
-def is_random(value: str, encoding) -> bool:
-    if HEXADECIMAL.fullmatch(value) and len(value) in DIGESTS or UUID.fullmatch(value) or is_identifier(value):
+def _is_exempt(value: str) -> bool:
+    return bool(NUMBER.fullmatch(value) or UUID.fullmatch(value) or HEXADECIMAL.fullmatch(value) and len(value) in DIGESTS)
+
+
+def _in_words(value: str, encoding) -> int:
+    return sum(len(run) for run in LETTERS.findall(value) if _is_word(run, encoding))
+
+
+def is_identifier(value: str, encoding) -> bool:
+    return bool(NUMBER.fullmatch(value)) or _in_words(value, encoding) >= WORDY * sum(map(str.isalnum, value))
+
+
+def _is_random_part(value: str, encoding) -> bool:
+    if len(value) < LEAST or _is_exempt(value) or len(value) >= CHARS_PER_TOKEN * len(encoding.encode_ordinary(value)):
         return False
-    return len(value) < CHARS_PER_TOKEN * len(encoding.encode_ordinary(value))
+    signs, words = sum(map(str.isalnum, value)), _in_words(value, encoding)
+    return words < WORDY * signs and signs - words >= UNREADABLE
+
+
+def random_spans(value: str, encoding) -> list[tuple[int, int]]:
+    """(start, end) of the random parts of a string of the base64 alphabets."""
+    parts = [m.span() for m in PART.finditer(value)]
+    odd = [at for at, (a, b) in enumerate(parts) if not _is_exempt(value[a:b]) and not is_identifier(value[a:b], encoding)]
+    if not odd:
+        return []
+    first, last = odd[0], odd[-1]
+    # ends of under 4 characters can't be told from a piece of the random part
+    start = parts[first][0] if parts[first][0] - parts[0][0] >= 4 else 0
+    end = parts[last][1] if parts[-1][1] - parts[last][1] >= 4 else len(value)
+    if _is_random_part(value[start:end], encoding):
+        return [(start, end)]
+    groups = [[parts[odd[0]]]]
+    for at in odd[1:]:
+        if parts[at][0] - groups[-1][-1][1] < NEAR:
+            groups[-1].append(parts[at])
+        else:
+            groups.append([parts[at]])
+    found = []
+    for group in groups:
+        whole = group[0][0], group[-1][1]
+        found += [(a, b) for a, b in ([whole] if _is_random_part(value[whole[0] : whole[1]], encoding) else group) if _is_random_part(value[a:b], encoding)]
+    return found
+
+
+def is_random(value: str, encoding) -> bool:
+    return bool(random_spans(value, encoding))
 
 
 def scan(text: str, encoding) -> list[tuple[int, int, int]]:
@@ -74,7 +133,7 @@ def scan(text: str, encoding) -> list[tuple[int, int, int]]:
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    found += [(m.start(), 3, m.end()) for m in LONG.finditer(text) if is_random(m[0], encoding)]
+    found += [(m.start() + a, 3, m.start() + b) for m in LONG.finditer(text) for a, b in random_spans(m[0], encoding)]
     return sorted(found)
 
 
