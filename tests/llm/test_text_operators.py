@@ -192,6 +192,24 @@ def test_languages(spark):
     assert {r.lang_pred for r in language_id.identify(docs.withColumn("lang", docs["lang"].substr(100, 1)).where("doc_id = 2").drop("lang").selectExpr("*", "CAST(null AS string) AS lang")).collect()} == {"und"}
 
 
+def test_unlearned_languages_are_rejected():
+    rng = random.Random(4)
+    words = {
+        "en": "the of and that thing over water house people other would their about which there when make time year work good from have this with".split(),
+        "de": "der die und nicht schön über wasser haus menschen andere würde ihre welche dort wenn machen zeit jahr arbeit gut von haben diese mit".split(),
+        "fr": "le été où français très eau maison gens autre serait leur quelle dont quand faire temps année travail bon avoir cette avec pour dans".split(),
+    }
+    rows = [(lang, " ".join(rng.choice(own) for _ in range(rng.choice((3, 8, 30, 200))))) for lang, own in words.items() for _ in range(150)]
+    rows += [(lang, "zq xj kv") for lang in words]  # a noisy labelled text moves no bound
+    model = language_id.fit(rows)
+    finnish = "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto"
+    polish = "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem i sumieniem"
+    letters = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(100))
+    assert all(model.predict(t)[2] for t in (finnish, finnish[:60], polish, polish[:60], letters, letters[:60], finnish * 40))
+    clean = [(lang, " ".join(rng.choice(own) for _ in range(n))) for lang, own in words.items() for n in (2, 4, 10, 40, 300) for _ in range(40)]
+    assert not any(model.predict(t)[2] for _, t in clean)
+
+
 def test_toxicity_learns_misspellings(spark):
     rng = random.Random(2)
     words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(300)]

@@ -7,9 +7,12 @@ length one.  Each language has ``CENTROIDS`` centroids (spherical k-means on
 its sample); a text gets the language of the centroid with the largest cosine,
 which is its score.
 
-Rejection: a text is rejected if its cosine is under ``REJECT`` times the least
-cosine that a sample document has with its own language's centroids, or if it
-has no letter.
+Rejection: the sample's texts are cut to ``LENGTHS`` bytes of letters; at each
+length, a language's bound is ``REJECT`` times the ``QUANTILE`` of its cut
+texts' cosines with its centroids, so a few noisy texts don't move it.  A text
+is rejected if its cosine is under the bound of the longest length that it has,
+or if it has no letter.  Lengths with under ``LEAST`` texts, or with a lower
+bound than a shorter one, take the shorter one's.
 
 Training looks only at ``text`` and non-null ``lang`` of documents with
 crc32(doc_id) mod 4 not 2, at about ``SAMPLE`` documents of each language (by a
@@ -24,6 +27,7 @@ from and not held out.  Repeated rows and other columns make no difference.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -40,18 +44,29 @@ BUCKETS = 1 << 13
 CENTROIDS = 4
 SAMPLE = 400
 SAMPLE_BYTES = 1 << 16
-REJECT = 0.1
+REJECT = 0.6
+QUANTILE = 0.02
+LENGTHS = (1, 4, 8, 16, 32, 128, 512, 2048)
+LEAST = 10
 UNKNOWN = "und"
 _OTHER = re.compile(r"[\W\d_]+")
 _CHUNK = 1 << 20
 
 
+def _letters(text: str | None) -> bytes | None:
+    """The words of a text in lower case; None if it has no letter."""
+    letters = _OTHER.sub(" ", (text or "").lower())
+    return letters.strip().encode() if any(map(str.isalpha, letters)) else None
+
+
 def counts(text: str | None) -> np.ndarray | None:
     """Bucket counts of a text's byte two- and three-grams; None if it has no letter."""
-    letters = _OTHER.sub(" ", (text or "").lower())
-    if not any(map(str.isalpha, letters)):
-        return None
-    data = np.frombuffer(f" {letters.strip()} ".encode(), np.uint8)
+    letters = _letters(text)
+    return None if letters is None else _counts(letters)
+
+
+def _counts(letters: bytes) -> np.ndarray:
+    data = np.frombuffer(b" " + letters + b" ", np.uint8)
     total = np.zeros(BUCKETS, np.int64)
     for at in range(0, len(data) - 1, _CHUNK):
         part = data[at : at + _CHUNK + 2].astype(np.uint32)
@@ -70,7 +85,7 @@ class Model:
     owners: np.ndarray  # of each centroid, its place in languages
     centroids: np.ndarray
     idf: np.ndarray
-    least: np.ndarray  # of each language, the cosine under which a text is rejected
+    least: np.ndarray  # of each language and length of LENGTHS, the cosine under which a text is rejected
 
     def vector(self, count: np.ndarray) -> np.ndarray:
         v = np.log1p(count).astype(np.float32) * self.idf
@@ -78,14 +93,29 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score, rejected)"""
-        count = counts(text)
-        if count is None or not self.languages:
+        letters = _letters(text)
+        if letters is None or not self.languages:
             return UNKNOWN, 0.0, True
-        cosines = self.centroids @ self.vector(count)
+        cosines = self.centroids @ self.vector(_counts(letters))
         best = int(np.argmax(cosines))
         score = float(min(1.0, max(0.0, cosines[best])))
         owner = int(self.owners[best])
-        return self.languages[owner], score, score < float(self.least[owner])
+        return self.languages[owner], score, score < float(self.least[owner, _length(letters)])
+
+
+def _length(letters: bytes) -> int:
+    """The place in LENGTHS of the longest length that a text has."""
+    return bisect.bisect_right(LENGTHS, len(letters)) - 1
+
+
+def _bounds(model: Model, texts: list[bytes], centroids: np.ndarray) -> np.ndarray:
+    """Of each length of LENGTHS, the cosine under which a text of this language is rejected."""
+    out = np.zeros(len(LENGTHS))
+    for at, n in enumerate(LENGTHS):
+        own = [float((centroids @ model.vector(_counts(t[:n]))).max()) for t in texts if len(t) >= n]
+        shorter = out[at - 1] if at else 0.0
+        out[at] = max(shorter, REJECT * float(np.quantile(own, QUANTILE))) if len(own) >= LEAST else shorter
+    return out
 
 
 def _clusters(vectors: np.ndarray, n: int) -> np.ndarray:
@@ -104,16 +134,17 @@ def _clusters(vectors: np.ndarray, n: int) -> np.ndarray:
 
 def fit(rows: list[tuple[str, str]], n: int = CENTROIDS) -> Model:
     """A model of (lang, text) rows; rows without letters are left out."""
-    counted = [(lang, c) for lang, text in rows if (c := counts(text)) is not None]
+    read = [(lang, letters) for lang, text in rows if (letters := _letters(text)) is not None]
+    counted = [(lang, _counts(letters)) for lang, letters in read]
     languages = sorted({lang for lang, _ in counted})
     seen = sum((c > 0 for _, c in counted), np.zeros(BUCKETS, np.int64))
     idf = (np.log((1 + len(counted)) / (1 + seen)) + 1).astype(np.float32)
-    model = Model(languages, np.zeros(0, np.int64), np.zeros((0, BUCKETS), np.float32), idf, np.zeros(len(languages)))
+    model = Model(languages, np.zeros(0, np.int64), np.zeros((0, BUCKETS), np.float32), idf, np.zeros((len(languages), len(LENGTHS))))
     owners, centroids = [], []
     for at, lang in enumerate(languages):
         vectors = np.array([model.vector(c) for own, c in counted if own == lang])
         found = _clusters(vectors, n)
-        model.least[at] = REJECT * float(np.max(vectors @ found.T, axis=1).min())
+        model.least[at] = _bounds(model, [letters for own, letters in read if own == lang], found)
         owners += [at] * len(found)
         centroids.append(found)
     model.owners = np.array(owners, np.int64)
