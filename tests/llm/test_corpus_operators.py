@@ -156,6 +156,15 @@ def test_simhash_of_nothing(spark):
     assert sorted(r.text for r in alone) == ["a", "b c d e f"]
 
 
+def test_simhash_keeps_a_row_of_each_component_where_ids_repeat(spark):
+    rng = random.Random(29)
+    texts = [" ".join(rng.choice("qrstuvwxyz") * rng.randint(1, 4) for _ in range(60)) for _ in range(12)]
+    rows = [(7, t) for t in texts[:8]] + [(7, texts[0]), (8, texts[1]), (9, texts[9]), (None, texts[9]), (None, texts[10]), (3, texts[11]), (7, texts[11])]
+    kept = simhash_dedup.deduplicate(frame(spark, rows)).collect()
+    wanted = [(7, t) for t in texts[:8]] + [(9, texts[9]), (None, texts[10]), (3, texts[11])]
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted(wanted, key=repr)
+
+
 def brute_top(rows, k=5):
     good = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []

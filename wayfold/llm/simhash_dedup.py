@@ -144,17 +144,22 @@ def near_duplicates(documents: DataFrame, *, key: str = "doc_id", text: str = "t
 def deduplicate(documents: DataFrame, *, key: str = "doc_id", text: str = "text", point: int = POINT) -> DataFrame:
     """One document of each component, all columns kept: the one with the least id.
 
-    Of rows that share that id one stays; a component of only null ids keeps one row.
+    Rows are told apart by id and fingerprint: of rows that share the least id
+    one with the least fingerprint stays, and a component of only null ids
+    keeps one row.
     """
     found = components(documents, key=key, text=text, point=point)
-    kept_key, kept = fresh("_kept_key", documents.columns), fresh("_kept", documents.columns)
-    keys = found.where(F.col("component_id").isNotNull()).select(F.col("component_id").alias(kept_key)).distinct()
-    with_id = documents.join(keys, documents[key] == F.col(kept_key), "left_semi").dropDuplicates([key])
     fp, root = fresh("_kept_fp", documents.columns), fresh("_kept_root", documents.columns)
+    kept_key, kept = fresh("_kept_key", documents.columns), fresh("_kept", documents.columns)
+    named = found.where(F.col("key").isNotNull()).groupBy("root").agg(F.min(F.struct("key", "fp")).alias("m"))
+    keys = named.select(F.col("m.key").alias(kept_key), F.col("m.fp").alias(fp))
+    known = fingerprint_column(documents.where(documents[key].isNotNull()), text, kept)
+    # a pair of id and fingerprint lies in one component
+    with_id = known.join(keys, (known[key] == keys[kept_key]) & (known[kept] == keys[fp]), "left_semi").dropDuplicates([key, kept])
     lone = found.where(F.col("component_id").isNull()).select(F.col("fp").alias(fp), F.col("root").alias(root)).distinct()
     mapped = fingerprint_column(documents.where(documents[key].isNull()), text, kept)
     without = mapped.join(lone, mapped[kept] == lone[fp]).dropDuplicates([root])
-    return with_id.unionByName(without.select(*documents.columns))
+    return with_id.select(*documents.columns).unionByName(without.select(*documents.columns))
 
 
 def fingerprint_column(documents: DataFrame, text: str, name: str) -> DataFrame:
