@@ -5,8 +5,8 @@ as their own single token are *whole*.  A text is cut into parts that encode
 independently (pre-tokens), parts that are whole tokens count one each by a
 table lookup, and only the rest is merged, each distinct one once for each
 worker (a bounded memory).  A ``.model`` file is read by ``sentencepiece``, a
-``.json`` file by ``tokenizers`` (pre-tokens of its own pre-tokenizer); models
-whose cuts can't be proved exact are counted by the library on whole texts.
+``.json`` file by ``tokenizers``, which counts whole texts: the shortcut is not
+built there.  Models whose cuts can't be proved exact are counted likewise.
 
 Cases: a null text counts as empty (0 tokens).  Rows are independent: repeated
 rows, null ids and other columns make no difference.  Texts are never cut
