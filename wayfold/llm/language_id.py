@@ -15,14 +15,17 @@ or if it has no letter.  Lengths with under ``LEAST`` texts, or with a lower
 bound than a shorter one, take the shorter one's.
 
 Training looks only at ``text`` and non-null ``lang`` of documents with
-crc32(doc_id) mod 4 not 2, at about ``SAMPLE`` documents of each language (by a
-hash of the id, the same documents at each run) of ``SAMPLE_BYTES`` or fewer.
-That bound is a parameter; all documents are scored over their whole texts, and
-the model (``BUCKETS`` floats for each centroid) doesn't grow with the corpus.
+crc32(doc_id) mod 4 not 2: of the ``LANGUAGES`` most frequent languages at about
+``SAMPLE`` documents each (by a hash of the id, the same at each run) and, in
+that order, at whole texts until ``SAMPLE_BYTES`` of a language are reached (one
+text at least).  These bounds are parameters of ``train``; all documents are
+scored over their whole texts, and the model (``BUCKETS`` floats for each
+centroid) doesn't grow with the corpus.
 
 Cases: null texts and texts without letters are ``und`` with score 0, and so is
 every text if nothing could be learned.  Rows with a null id are not learned
-from and not held out.  Repeated rows and other columns make no difference.
+from and not held out.  Of rows that share an id and a language the least text
+is learned from.  Other columns make no difference.
 """
 
 from __future__ import annotations
@@ -38,12 +41,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfold.llm.common import in_bytes, table
+from wayfold.llm.common import drawn, fresh, in_budget, in_bytes, table
 
 BUCKETS = 1 << 13
 CENTROIDS = 4
 SAMPLE = 400
-SAMPLE_BYTES = 1 << 16
+SAMPLE_BYTES = 4 << 20
+LANGUAGES = 100
 REJECT = 0.6
 QUANTILE = 0.02
 LENGTHS = (1, 4, 8, 16, 32, 128, 512, 2048)
@@ -156,20 +160,26 @@ def _remainder(key: Column) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % 4
 
 
-def train(documents: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
-    """A model of a bounded sample; the driver gets ``sample`` texts of each language or so."""
-    learn = documents.select(documents[key].alias("key"), documents[text].alias("text"), documents[lang].alias("lang")).where(
-        (_remainder(F.col("key")) != 2) & F.col("lang").isNotNull()
+def train(
+    documents: DataFrame,
+    *,
+    key: str = "doc_id",
+    text: str = "text",
+    lang: str = "lang",
+    sample: int = SAMPLE,
+    sample_bytes: int = SAMPLE_BYTES,
+    languages: int = LANGUAGES,
+) -> Model:
+    """A model of a bounded sample: about ``sample`` texts and ``sample_bytes`` of each of ``languages`` languages."""
+    learn = documents.select(documents[key].alias("key"), documents[text].alias("text"), documents[lang].alias("label")).where(
+        (_remainder(F.col("key")) != 2) & F.col("label").isNotNull() & F.col("text").isNotNull()
     )
-    sizes = {r["lang"]: r["n"] for r in learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # ids and not rows are counted: a repeated id is drawn once
+    most = learn.groupBy("label").agg(F.approx_count_distinct("key").alias("n")).orderBy(F.desc("n"), "label").limit(languages)
+    sizes = {r["label"]: r["n"] for r in most.collect()}
     if not sizes:
         return fit([])
-    chosen = F.lit(False)
-    draw = F.pmod(F.xxhash64(F.col("key").cast("string")), F.lit(1 << 30))
-    for language, n in sizes.items():
-        chosen = F.when(F.col("lang") == language, draw < int(min(1.0, sample / n) * (1 << 30)) if n > sample else F.lit(True)).otherwise(chosen)
-    rows = learn.where(chosen & (F.octet_length("text") <= SAMPLE_BYTES)).select("lang", "text", "key").collect()
-    return fit([(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["key"], r["text"]))])
+    return fit([(r["label"], r["text"]) for r in in_budget(learn.where(drawn(sizes, sample)), sample_bytes)])
 
 
 def _scored(documents: DataFrame, model: Model, names: tuple[str, str, str], text: str) -> DataFrame:
@@ -199,8 +209,6 @@ def identify(documents: DataFrame, *, key: str = "doc_id", text: str = "text", l
 
 def keep_known(documents: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", model: Model | None = None) -> DataFrame:
     """The documents that are not rejected, all columns kept."""
-    from wayfold.llm.common import fresh
-
     model = model or train(documents, key=key, text=text, lang=lang)
     names = tuple(fresh(n, documents.columns) for n in ("_lang_pred", "_lang_score", "_lang_rejected"))
     return _scored(documents, model, names, text).where(~F.col(names[2])).select(*documents.columns)
