@@ -139,7 +139,7 @@ def test_simhash_links_by_chosen_bits(spark):
     wanted = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 2}
     assert {(r.a, r.b) for r in simhash_dedup.links(distinct, point=10**6).collect()} == wanted
     groups = brute_components(prints)
-    for point in (1, 3):
+    for point in (1, 3):  # through all three widths, and some through fewer
         found = simhash_dedup.connected_components(simhash_dedup.links(distinct, point=point), checkpoint=simhash_dedup.checkpointed)
         by = {}
         for r in found.collect():
@@ -150,6 +150,21 @@ def test_simhash_links_by_chosen_bits(spark):
         assert sorted(map(sorted, by.values())) == sorted(sorted(v) for v in own.values() if len(v) > 1)
 
 
+def test_simhash_narrow_segments_find_the_pairs(spark, monkeypatch):
+    """Each width alone finds what brute force finds, among prints that crowd few points."""
+    rng = random.Random(31)
+    base = rng.getrandbits(64)
+    prints = {base} | {base ^ 1 << a ^ 1 << b for a, b in (rng.sample(range(64), 2) for _ in range(60))} | {rng.getrandbits(64) for _ in range(30)}
+    signed = np.array(sorted(prints), np.uint64).view(np.int64).tolist()
+    distinct = spark.createDataFrame([(s,) for s in signed], "fp long")
+    wanted = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 2}
+    for width in (4, 2):
+        monkeypatch.setattr(simhash_dedup, "WIDTHS", (width, 1))
+        assert {(r.a, r.b) for r in simhash_dedup.links(distinct, point=10**6).collect()} == wanted
+    points = simhash_dedup._points(distinct, 2)
+    assert points.count() <= 65 * len(signed) and points.select("fp", "point").distinct().count() == points.count()
+
+
 def test_simhash_of_nothing(spark):
     assert simhash_dedup.near_duplicates(frame(spark, [])).collect() == []
     alone = simhash_dedup.deduplicate(frame(spark, [(None, "a"), (None, "a"), (None, "b c d e f")])).collect()

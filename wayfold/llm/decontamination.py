@@ -1,22 +1,24 @@
-"""Benchmark decontamination by winnowed word k-grams, in DataFrame functions only.
+"""Benchmark decontamination by winnowing word k-grams, in DataFrame functions only.
 
 A document word is hit if it lies in an occurrence of a benchmark *window*:
 ten consecutive words of an item, or the whole item if it has fewer.
 
-Winnowing: of the six 5-grams in every ten-word window, each side keeps the
-one with the least hash, and documents meet the benchmark on that hash alone.
-Equal windows have equal 5-grams, so they keep the same one: every shared span
-of ten words or more is found.  A met window is then extended from its 5-gram
-to all its ten words and compared word by word, so that no hash decides.
-
-Plan: one pass over the documents.  Their words are hashed once for each
-document, ``explode`` makes the window positions, and the window hashes, the
-probe of the benchmark and the comparison run in the same generated code;
-only met windows and one marker row for each document are shuffled.  The
-benchmark side is broadcast if its counted windows are at most
-``broadcast_windows``; a larger one is joined by shuffle on the window hash.
-Items of fewer than ten words meet on the hash of the whole item, with one
-more pass for each such length that occurs (nine at most).
+Winnowing: of the six 5-grams in every ten-word window the one with the least
+hash is kept (the last of equal ones), once for all windows that keep it: about
+two of seven.  Both sides keep the same ones of a shared window, so every shared
+span of ten words or more has a kept 5-gram in common.  Documents meet the
+benchmark on kept hashes alone; a met 5-gram is then extended word by word, up
+to five words to each side, and is a hit if ten words in a row are equal.  No
+hash decides.  Items of fewer than ten words meet on the hash of the whole item.
+
+Plan: words are hashed once for each document and ``explode`` makes the
+positions; grams, the choice of the kept ones, the probe of the benchmark and
+the extension run in the same generated code.  The benchmark's fingerprints are
+broadcast if their count is at most ``broadcast_windows``.  More are joined by
+shuffle on the hash: (document, position, hash) goes through that shuffle and
+nothing else, and only the texts of documents that meet something are fetched.
+One small row for each document is joined with its hits; ids with text hashes
+tell documents apart.
 
 Cases: null or wordless texts have no words and no hits.  Items without words
 or with null texts have no windows.  Items that share an ``item_id`` count
@@ -32,16 +34,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import ascii_lower, fresh, table
+from wayfold.llm.common import ascii_lower, checkpointed, fresh, table
 
 WINDOW = 10
 GRAM = 5
 #: Characters that part words, before A-Z are lower-cased.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: About 200 bytes each: 40 MB of broadcast at most.
+#: About 300 bytes each: 60 MB of broadcast at most.
 BROADCAST_WINDOWS = 200_000
-#: The position of a document's marker row: every word about it is null, so its window hash is the bare seed.
-MARKER = -64
+#: Documents that hit something, 40 bytes each: 40 MB of broadcast at most.
+BROADCAST_DOCUMENTS = 1_000_000
 
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
@@ -51,11 +53,6 @@ def _word_hash(word: Column) -> Column:
     return F.xxhash64(F.lower(word))
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` evaluated once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _prepared(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, words (raw, edges may be empty strings), hashes, n_words."""
     words = F.split(F.coalesce(F.col(text), F.lit("")), SEPARATORS)
@@ -75,97 +72,119 @@ def _hash_at(offset: int) -> Column:
     return F.get("hashes", F.col("at") + offset)
 
 
-def _window_hashes(length: int) -> tuple[Column, Column]:
-    """(the hash that sides meet on, the hash of the whole window) at position ``at``."""
-    if length < WINDOW:
-        whole = F.xxhash64(*[_hash_at(j) for j in range(length)])
-        return whole, whole
-    grams = [F.xxhash64(*[_hash_at(j + k) for k in range(GRAM)]) for j in range(WINDOW - GRAM + 1)]
-    return F.least(*grams), F.xxhash64(grams[0], grams[-1])
+def _run_hash(length: int) -> Column:
+    """The hash of ``length`` words from position ``at`` on."""
+    return F.xxhash64(*[_hash_at(j) for j in range(length)])
+
+
+def _grams() -> Column:
+    """The hashes of all 5-grams, in order."""
+    places = F.when(F.size("hashes") >= GRAM, F.sequence(F.lit(0), F.size("hashes") - GRAM)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.xxhash64(*[F.get("hashes", i + k) for k in range(GRAM)]))
+
+
+def _kept_gram() -> Column:
+    """The hash of the 5-gram at ``at`` if a window keeps it, else null."""
+    reach, own = WINDOW - GRAM, F.get("grams", F.col("at"))
 
+    def run(side: int, n: int = 1) -> Column:
+        """How many 5-grams in a row are greater (on the left: or equal)."""
+        other = F.get("grams", F.col("at") + side * n)
+        beyond = other >= own if side < 0 else other > own
+        return F.when(beyond, F.lit(1) + (run(side, n + 1) if n < reach else F.lit(0))).otherwise(F.lit(0))
 
-def _spelled(length: int) -> Column:
-    """The window's words, lower-cased and joined by spaces."""
-    return ascii_lower(F.array_join(F.slice("words", F.col("at") + 1, length), " "))
+    return F.when(run(-1) + run(1) >= reach, own)
 
 
-def _windows(prepared: DataFrame, length: int) -> DataFrame:
-    """The benchmark's windows of one length, with both hashes and the words."""
-    met, whole = _window_hashes(length)
-    wanted = F.col("n_words") >= WINDOW if length == WINDOW else F.col("n_words") == length
+def _positions(prepared: DataFrame, *more: str) -> DataFrame:
+    """A row for each word, ``at`` its place."""
+    return prepared.withColumn("grams", _grams()).select(*more, "words", "hashes", "grams", F.explode(F.sequence(F.lit(0), F.size("words") - 1)).alias("at"))
+
+
+def _fingerprints(items: DataFrame, short: list[int]) -> DataFrame:
+    """Of the benchmark: met (the hash), around (words), lead (how many before the gram), gram and need (lengths), item."""
     first = F.when(F.col("words")[0] == "", 1).otherwise(0)
-    return (
-        prepared.where(wanted)
-        .select("key", "words", "hashes", F.explode(F.sequence(first, first + F.col("n_words") - length)).alias("at"))
-        .select(met.alias("met"), whole.alias("whole_b"), _spelled(length).alias("spelled_b"), F.col("key").cast("string").alias("item"))
-        .distinct()
+    spoken = items.withColumn("words", F.slice("words", first + 1, F.col("n_words"))).withColumn("hashes", F.slice("hashes", first + 1, F.col("n_words")))
+    item = F.col("key").cast("string").alias("item")
+    lead = F.least(F.col("at"), F.lit(WINDOW - GRAM))
+    around = F.transform(F.slice("words", F.col("at") - lead + 1, lead + WINDOW), ascii_lower)
+    kept = _positions(spoken.where(F.col("n_words") >= WINDOW), "key").withColumn("met", _kept_gram()).where("met IS NOT NULL")
+    parts = [kept.select("met", around.alias("around"), lead.alias("lead"), F.lit(GRAM).alias("gram"), F.lit(WINDOW).alias("need"), item)]
+    for n in short:
+        whole = spoken.where(F.col("n_words") == n).withColumn("at", F.lit(0))
+        parts.append(whole.select(_run_hash(n).alias("met"), F.transform("words", ascii_lower).alias("around"), F.lit(0).alias("lead"), F.lit(n).alias("gram"), F.lit(n).alias("need"), item))
+    return reduce(DataFrame.unionAll, parts).distinct()
+
+
+def _probes(prepared: DataFrame, short: list[int], *more: str) -> DataFrame:
+    """Of documents: need, met and at of every kept 5-gram, and of every run as long as a short item."""
+    names = ["key", "text_hash", *more]
+    rows = _positions(prepared, *[n for n in names if n not in ("words", "hashes")]).withColumn("kept", _kept_gram())
+    if not short:
+        return rows.where("kept IS NOT NULL").select(*names, "at", F.lit(WINDOW).alias("need"), F.col("kept").alias("met"))
+    runs = [F.when(F.col("at") + n <= F.size("words"), F.struct(F.lit(n).alias("need"), _run_hash(n).alias("met"))) for n in short]
+    every = F.array(F.when(F.col("kept").isNotNull(), F.struct(F.lit(WINDOW).alias("need"), F.col("kept").alias("met"))), *runs)
+    return rows.select(*names, "at", F.explode(F.array_compact(every)).alias("p")).select(*names, "at", "p.need", "p.met")
+
+
+def _extended(met: DataFrame) -> DataFrame:
+    """key, text_hash, lo, hi (first and last equal word), item of the hits among met 5-grams."""
+    here = F.transform("around", lambda w, i: F.coalesce(w == ascii_lower(F.get("words", F.col("at") - F.col("lead") + i)), F.lit(False)))
+
+    def equal(part: Column) -> Column:
+        """How many flags from the front on are true."""
+        stop = F.array_position(part, F.lit(False)).cast("int")
+        return F.when(stop == 0, F.size(part)).otherwise(stop - 1)
+
+    flags = met.withColumn("equal", here).withColumns(
+        {
+            "own": equal(F.slice("equal", F.col("lead") + 1, F.col("gram"))),
+            "left": equal(F.reverse(F.slice("equal", F.lit(1), F.col("lead")))),
+            "right": equal(F.slice("equal", F.col("lead") + F.col("gram") + 1, F.lit(WINDOW))),
+        }
     )
+    found = flags.where((F.col("own") == F.col("gram")) & (F.col("left") + F.col("gram") + F.col("right") >= F.col("need")))
+    return found.select("key", "text_hash", (F.col("at") - F.col("left")).alias("lo"), (F.col("at") + F.col("gram") + F.col("right") - 1).alias("hi"), "item")
 
 
-def _hits(prepared: DataFrame, windows: DataFrame, length: int, broadcast_windows: int) -> DataFrame:
-    """A row for each met window, and a marker row for each document row.
+def hits(documents: DataFrame, benchmark: DataFrame, *, doc_key: str = "doc_id", doc_text: str = "text", item_key: str = "item_id", item_text: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    """key, text_hash, lo, hi, item: runs of ten words or more (or a whole short item) that documents share with items."""
+    items = _prepared(benchmark, item_key, item_text)
+    short = sorted(r[0] for r in items.where(F.col("n_words").between(1, WINDOW - 1)).select("n_words").distinct().collect())
+    prints, prepared = _fingerprints(items, short), _prepared(documents, doc_key, doc_text)
+    if prints.count() <= broadcast_windows:
+        return _extended(_probes(prepared, short, "words").join(F.broadcast(prints), ["need", "met"]))
+    met = checkpointed(_probes(prepared, short).join(prints, ["need", "met"]))
+    wanted = met.select(F.col("key").alias("_key"), F.col("text_hash").alias("_hash")).distinct()
+    own = prepared.join(_sized(wanted), prepared["key"].eqNullSafe(F.col("_key")) & (prepared["text_hash"] == F.col("_hash")), "left_semi")
+    words = own.select(F.col("key").alias("_key"), F.col("text_hash").alias("_hash"), "words").dropDuplicates(["_key", "_hash"])
+    return _extended(met.join(words, met["key"].eqNullSafe(F.col("_key")) & (met["text_hash"] == F.col("_hash"))))
 
-    The hashes are computed outside any condition, so that generated code
-    shares their parts; the marker's hash is kept from the benchmark's side.
-    """
-    met, whole = _window_hashes(length)
-    marker = F.array(F.lit(MARKER))
-    positions = F.when(F.size("words") >= length, F.concat(marker, F.sequence(F.lit(0), F.size("words") - length))).otherwise(marker)
-    bare = F.xxhash64(F.lit(None).cast("long"))
-    windows = windows.where(F.col("met") != bare)
-    # in this form no words are joined for rows that meet nothing
-    met_here = F.when(F.col("whole") == F.col("whole_b"), _spelled(length) == F.col("spelled_b")).otherwise(F.lit(False))
-    kept = F.when(F.col("at") == MARKER, F.lit(True)).when(F.col("whole_b").isNull(), F.lit(False)).otherwise(met_here)
-    side = F.broadcast(windows) if windows.count() <= broadcast_windows else windows
-    return (
-        prepared.select("key", "text_hash", "n_words", "words", "hashes", F.explode(positions).alias("at"))
-        .select("key", "text_hash", "n_words", "words", "at", met.alias("met"), whole.alias("whole"))
-        .join(side, "met", "left")
-        .where(kept)
-        .select(
-            "key",
-            "text_hash",
-            "n_words",
-            F.when(F.col("at") >= 0, F.struct("at", F.lit(length).alias("length"))).alias("hit"),
-            F.when(F.col("at") >= 0, F.col("item")).alias("item"),
-            (F.col("at") == MARKER).cast("long").alias("rows"),
-        )
-    )
 
+def _sized(found: DataFrame) -> DataFrame:
+    """``found``, broadcast if it is small."""
+    return F.broadcast(found) if found.count() <= BROADCAST_DOCUMENTS else found
 
-def decontaminate(
-    documents: DataFrame,
-    benchmark: DataFrame,
-    *,
-    doc_key: str = "doc_id",
-    doc_text: str = "text",
-    item_key: str = "item_id",
-    item_text: str = "text",
-    broadcast_windows: int = BROADCAST_WINDOWS,
-) -> DataFrame:
+
+def decontaminate(documents: DataFrame, benchmark: DataFrame, *, doc_key: str = "doc_id", doc_text: str = "text", **names) -> DataFrame:
     """One row for each document row: ``RESULT`` with ``doc_key`` for doc_id."""
-    items = _prepared(benchmark, item_key, item_text)
-    short = [r[0] for r in items.where(F.col("n_words").between(1, WINDOW - 1)).select("n_words").distinct().collect()]
-    prepared = _prepared(documents, doc_key, doc_text)
-    parts = [_hits(prepared, _windows(items, WINDOW), WINDOW, broadcast_windows)]
-    for length in sorted(short):
-        found = _hits(prepared, _windows(items, length), length, broadcast_windows)
-        parts.append(found.where("rows = 0"))
-    covered = F.size(F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["at"], h["at"] + h["length"] - 1)))))
-    return (
-        reduce(DataFrame.unionAll, parts)
+    spans = F.transform("spans", lambda h: F.sequence(h["lo"], h["hi"]))
+    by = (
+        hits(documents, benchmark, doc_key=doc_key, doc_text=doc_text, **names)
         .groupBy("key", "text_hash")
-        .agg(F.sum("rows").alias("rows"), F.max("n_words").alias("n_words"), F.collect_set("hit").alias("hits"), F.collect_set("item").alias("items"))
-        .select(
-            F.col("key").alias(doc_key),
-            F.col("n_words").cast("long").alias("n_words"),
-            F.when(F.size("hits") > 0, covered).otherwise(0).cast("long").alias("n_hit"),
-            F.size("items").cast("long").alias("n_items"),
-            F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
-            (F.size("hits") > 0).alias("contaminated"),
-            F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))).alias("_copy"),
-        )
-        .drop("_copy")
+        .agg(F.collect_set(F.struct("lo", "hi")).alias("spans"), F.collect_set("item").alias("items"))
+        .select(F.col("key").alias("_key"), F.col("text_hash").alias("_hash"), F.size(F.array_distinct(F.flatten(spans))).alias("hit"), F.array_sort("items").alias("items"))
+    )
+    every = _prepared(documents, doc_key, doc_text).select("key", "text_hash", "n_words")
+    joined = every.join(by, every["key"].eqNullSafe(F.col("_key")) & (every["text_hash"] == F.col("_hash")), "left")
+    items = F.coalesce("items", F.array().cast("array<string>"))
+    return joined.select(
+        F.col("key").alias(doc_key),
+        F.col("n_words").cast("long").alias("n_words"),
+        F.coalesce("hit", F.lit(0)).cast("long").alias("n_hit"),
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
+        F.col("hit").isNotNull().alias("contaminated"),
     )
 
 
@@ -175,30 +194,16 @@ def clean(documents: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
     Rows that share a ``doc_id`` and a text are kept or dropped together;
     documents are told apart by id and text hash, so ids may repeat or be null.
     """
-    hit = fresh("_hit", documents.columns)
     key, text = names.get("doc_key", "doc_id"), names.get("doc_text", "text")
     id_, hash_ = fresh("_hit_id", documents.columns), fresh("_hit_hash", documents.columns)
-    found = hit_documents(documents, benchmark, **names).select(F.col("key").alias(id_), F.col("text_hash").alias(hash_), F.lit(True).alias(hit))
+    found = checkpointed(hit_documents(documents, benchmark, **names)).select(F.col("key").alias(id_), F.col("text_hash").alias(hash_))
     on = documents[key].eqNullSafe(F.col(id_)) & (F.xxhash64(documents[text]) == F.col(hash_))
-    return documents.join(found, on, "left_anti")
-
-
-def hit_documents(
-    documents: DataFrame,
-    benchmark: DataFrame,
-    *,
-    doc_key: str = "doc_id",
-    doc_text: str = "text",
-    item_key: str = "item_id",
-    item_text: str = "text",
-    broadcast_windows: int = BROADCAST_WINDOWS,
-) -> DataFrame:
+    return documents.join(_sized(found), on, "left_anti")
+
+
+def hit_documents(documents: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
     """key and text_hash of the documents with a benchmark window, each once."""
-    items = _prepared(benchmark, item_key, item_text)
-    short = [r[0] for r in items.where(F.col("n_words").between(1, WINDOW - 1)).select("n_words").distinct().collect()]
-    prepared = _prepared(documents, doc_key, doc_text)
-    parts = [_hits(prepared, _windows(items, n), n, broadcast_windows) for n in [WINDOW, *sorted(short)]]
-    return reduce(DataFrame.unionAll, parts).where("rows = 0").select("key", "text_hash").distinct()
+    return hits(documents, benchmark, **names).select("key", "text_hash").distinct()
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,19 +4,21 @@ A fingerprint's bit is 1 if it is set in over half the XXH64 hashes (seed 42)
 of the text's three-word shingles.  Fingerprints link at two differing bits or
 fewer.
 
-Search: a fingerprint is embedded as the popcounts of its 16 four-bit segments.
-Two differing bits move that vector by at most two in Manhattan distance, so
-two linked vectors have a grid point within one step of both.  Each distinct
-fingerprint goes to its own point and its neighbours (33 at most), pairs that
-meet at a point are verified bit by bit, and copies of a fingerprint never
-enter the join.
-
-A grid point with more than ``POINT`` fingerprints is not paired off: its
-fingerprints link exactly by meeting in the middle instead.  Each goes to the
-65 values within one bit of it; two fingerprints share a value if and only if
-they differ in two bits or fewer, so linking all of a value to its least
-fingerprint keeps every link's component with one row for each value.  No cap
-loses a link and no group is paired off, whatever its size.
+Search: a fingerprint is embedded as the popcounts of its segments, of
+``WIDTHS[0]`` bits each.  Two differing bits move that vector by at most two in
+Manhattan distance, so two linked vectors have a grid point within one step of
+both.  Each distinct fingerprint goes to its own point and its neighbours (33 at
+most), pairs that meet at a point are verified bit by bit, and copies of a
+fingerprint never enter the join.
+
+A point with more than ``POINT`` fingerprints is split instead of paired off:
+its fingerprints go through the same search with narrower segments, which tell
+more vectors apart (65 points each).  With segments of one bit the vector is the
+fingerprint itself: whatever meets at a point there is within one bit of it and
+so linked, and linking all of it to its least fingerprint keeps every link's
+component with one row for each.  Two linked fingerprints that share a point of
+one width either are paired there or go on together, so no link is lost and no
+group is paired off, whatever its size.
 
 Components are found by alternating star contraction over the links, with a
 reliable checkpoint for each round; nothing of the corpus goes to the driver.
@@ -30,11 +32,13 @@ of only null ids has a null ``component_id``.  Other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wayfold.llm.common import checkpointed, fresh, in_bytes, table
 from wayfold.operators.components import connected_components
@@ -42,7 +46,8 @@ from wayfold.operators.components import connected_components
 SHINGLE = 3
 SEED = 42
 BITS = 2
-SEGMENTS, WIDTH = 16, 4
+#: Bits of a segment, and bits that its popcount takes in a packed vector: whole fingerprints in 64 bits.
+WIDTHS, PACKED = (4, 2, 1), {4: 3, 2: 2}
 POINT = 32
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _PLACES = np.arange(64, dtype=np.uint64)
@@ -82,21 +87,24 @@ def fingerprints(documents: DataFrame, *, key: str = "doc_id", text: str = "text
     return source.mapInArrow(run, f"key {source.schema['key'].dataType.simpleString()}, fp long")
 
 
-def _counts(fp: Column) -> list[Column]:
-    return [F.bit_count(F.shiftrightunsigned(fp, WIDTH * s).bitwiseAND(F.lit(2**WIDTH - 1))) for s in range(SEGMENTS)]
-
-
-def _points(distinct: DataFrame) -> DataFrame:
-    """fp, point, step (0: its own point, else which neighbour)."""
-    steps = [F.when(F.lit(True), F.struct(F.col("home").alias("point"), F.lit(0).alias("step")))]
-    for s in range(SEGMENTS):
-        unit = F.lit(1).cast("long") if s == 0 else F.shiftleft(F.lit(1).cast("long"), 3 * s)
-        steps.append(F.when(F.col("counts")[s] < WIDTH, F.struct((F.col("home") + unit).alias("point"), F.lit(s + 1).alias("step"))))
-        steps.append(F.when(F.col("counts")[s] > 0, F.struct((F.col("home") - unit).alias("point"), F.lit(-s - 1).alias("step"))))
-    counts = distinct.select("fp", F.array(*_counts(F.col("fp"))).alias("counts"))
-    packed = sum((F.shiftleft(F.col("counts")[s].cast("long"), 3 * s) for s in range(1, SEGMENTS)), F.col("counts")[0].cast("long"))
+def _points(distinct: DataFrame, width: int) -> DataFrame:
+    """fp, point, step (0: its own point, else which neighbour) for segments of ``width`` bits."""
+    own, one = F.col("fp"), F.lit(1).cast("long")
+    if width == 1:
+        near = F.array(own, *[own.bitwiseXOR(F.shiftleft(one, bit)) for bit in range(64)])
+        return distinct.select("fp", F.posexplode(near).alias("step", "point")).select("fp", "point", "step")
+    segments, bits = 64 // width, PACKED[width]
+    counts = F.array(*[F.bit_count(F.shiftrightunsigned(own, width * s).bitwiseAND(F.lit(2**width - 1))).cast("long") for s in range(segments)])
+    placed = distinct.select("fp", counts.alias("counts"))
+    count = [F.get("counts", F.lit(s)) for s in range(segments)]
+    home = reduce(Column.bitwiseOR, [F.shiftleft(count[s], bits * s) for s in range(segments)])
+    steps = [F.struct(F.col("home").alias("point"), F.lit(0).alias("step"))]
+    for s in range(segments):
+        for sign in (1, -1):
+            moved = F.col("home").bitwiseXOR(F.shiftleft(count[s].bitwiseXOR(count[s] + sign), bits * s))
+            steps.append(F.when((count[s] < width) if sign > 0 else (count[s] > 0), F.struct(moved.alias("point"), F.lit(sign * (s + 1)).alias("step"))))
     return (
-        counts.select("fp", "counts", packed.alias("home"))
+        placed.select("fp", "counts", home.alias("home"))
         .select("fp", F.explode(F.array_compact(F.array(*steps))).alias("at"))
         .select("fp", F.col("at.point").alias("point"), F.col("at.step").alias("step"))
     )
@@ -107,21 +115,25 @@ def links(distinct: DataFrame, point: int = POINT) -> DataFrame:
 
     ``distinct`` has one row for each fingerprint ``fp``.
     """
-    points = _points(distinct)
-    loads = points.groupBy("point").agg(F.count(F.lit(1)).alias("load")).where("load > 1")
-    crowded = checkpointed(points.join(loads, "point").select("fp", "point", "step", "load"))
-    few = crowded.where(F.col("load") <= point)
-    left = few.select("point", F.col("fp").alias("a"), F.col("step").alias("a_step"))
-    right = few.select("point", F.col("fp").alias("b"), F.col("step").alias("b_step"))
-    # Equal vectors share all 33 points: they count at their own.
-    once = (F.col("a_step") != F.col("b_step")) | (F.col("a_step") == 0)
-    paired = left.join(right, "point").where((F.col("a") < F.col("b")) & once & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS)).select("a", "b")
-    many = crowded.where(F.col("load") > point).select("fp").distinct()
-    near = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.shiftleft(F.lit(1).cast("long"), bit)) for bit in range(64)])
-    values = many.select("fp", F.explode(near).alias("value"))
-    least = values.groupBy("value").agg(F.min("fp").alias("b"), F.max("fp").alias("most")).where("b < most").select("value", "b")
-    met = values.join(least, "value").where("fp <> b").select(F.col("fp").alias("a"), "b")
-    return paired.unionAll(met).distinct()
+    parts, left = [], distinct.select("fp")
+    for width in WIDTHS[:-1]:
+        points = _points(left, width)
+        loads = points.groupBy("point").agg(F.count(F.lit(1)).alias("load")).where("load > 1")
+        shared = checkpointed(points.join(loads, "point").select("fp", "point", "step", "load"))
+        few = shared.where(F.col("load") <= point)
+        a = few.select("point", F.col("fp").alias("a"), F.col("step").alias("a_step"))
+        b = few.select("point", F.col("fp").alias("b"), F.col("step").alias("b_step"))
+        # Equal vectors share all their points: they count at their own.
+        once = (F.col("a_step") != F.col("b_step")) | (F.col("a_step") == 0)
+        parts.append(a.join(b, "point").where((F.col("a") < F.col("b")) & once & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS)).select("a", "b"))
+        left = checkpointed(shared.where(F.col("load") > point).select("fp").distinct())
+        if left.isEmpty():
+            break
+    else:
+        points = _points(left, 1)
+        least = points.groupBy("point").agg(F.min("fp").alias("b"), F.max("fp").alias("most")).where("b < most").select("point", "b")
+        parts.append(points.join(least, "point").where("fp <> b").select(F.col("fp").alias("a"), "b"))
+    return reduce(DataFrame.unionAll, parts).distinct()
 
 
 def components(documents: DataFrame, *, key: str = "doc_id", text: str = "text", point: int = POINT) -> DataFrame:
@@ -171,8 +183,6 @@ def fingerprint_column(documents: DataFrame, text: str, name: str) -> DataFrame:
                 found = np.array([fingerprint(t) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()], np.uint64)
                 yield batch.append_column(name, pa.array(found.view(np.int64)))
 
-    from pyspark.sql import types as T
-
     return documents.mapInArrow(run, T.StructType([*documents.schema.fields, T.StructField(name, T.LongType())]))
 
 
