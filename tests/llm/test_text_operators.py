@@ -260,3 +260,63 @@ def test_substring_dedup(spark):
     assert substring_dedup.deduplicate(frame(spark, [])).collect() == []
     same = [r.text for r in substring_dedup.deduplicate(frame(spark, [(1, passage), (1, passage)])).collect()]
     assert same == [passage, passage]
+
+
+def brute_substrings(rows):
+    """What substring deduplication keeps, by plain loops over all spans of all documents."""
+    seen, out = {}, {}
+    order = sorted(range(len(rows)), key=lambda n: (rows[n][0] is None, rows[n][0] or 0, 0 if rows[n][0] is not None else rows[n][2]))
+    said = {n: substring_dedup.spoken(rows[n][1] or "") for n in order}
+    whose = lambda n: rows[n][0] if rows[n][0] is not None else ("null", rows[n][2])
+
+    def runs(n):
+        for at in range(len(said[n])):
+            for end in range(at + 1, len(said[n]) + 1):
+                if end - at >= substring_dedup.SENTENCES and sum(k for _, k in said[n][at:end]) >= substring_dedup.WORDS:
+                    yield at, end, " ".join(w for w, _ in said[n][at:end])
+                    break
+
+    for n in order:
+        for _, _, words in runs(n):
+            seen.setdefault(words, whose(n))
+    for n in order:
+        gone, own = set(), set()
+        for at, end, words in runs(n):
+            if seen[words] != whose(n) or words in own:
+                gone |= set(range(at, end))
+            own.add(words)
+        out[n] = len(gone)
+    return [out[n] for n in range(len(rows))]
+
+
+def test_substring_dedup_is_the_brute_force_one(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    sentences = [_prose(rng, 1) for _ in range(40)]
+    texts = [" ".join(rng.choice(sentences) for _ in range(rng.randint(0, 14))) for _ in range(60)]
+    block = " ".join(sentences[:9])
+    texts += [block, block + " " + block, "Then home.", "Then home.", "", None, "x. " * 50]
+    last = (1 << 63) - 1
+    ids = [rng.choice([None, *range(50), last]) for _ in texts]
+    docs = frame(spark, list(zip(ids, texts, strict=True)))
+    ties = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    rows = [(i, t, ties[t]) for i, t in zip(ids, texts, strict=True)]
+    got = sorted([(r.doc_id, r.n_removed) for r in substring_dedup.deduplicate(docs).collect()], key=repr)
+    wanted = sorted(zip(ids, brute_substrings(rows), strict=True), key=repr)
+    assert got == wanted and sum(n for _, n in wanted) > 50
+
+
+def test_substring_dedup_of_documents_without_an_id(spark, tmp_path):
+    import os
+
+    rng = random.Random(9)
+    passage = _prose(rng, 12)
+    rows = [(None, _prose(rng, 4) + " " + passage) for _ in range(6)] + [(None, passage)] * 2 + [((1 << 63) - 1, _prose(rng, 4))]
+    got = substring_dedup.deduplicate(frame(spark, rows)).collect()
+    assert len(got) == len(rows) and sorted({r.doc_id is None for r in got}) == [False, True]
+    assert sum(passage in r.text for r in got) in (1, 2)  # one owner; equal texts without an id are one document
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    assert not [f for f in os.listdir(folder) if f.startswith("spans-")]
+    shorter = substring_dedup.deduplicate(frame(spark, [(1, "Then home. Now."), (2, "Then home. Now.")]), sentences=1, least_words=2).collect()
+    assert sorted((r.doc_id, r.text) for r in shorter) == [(1, "Then home. Now."), (2, " Now.")]

@@ -42,6 +42,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Deletes an intermediate folder of this library, wherever its file system is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def ascii_lower(col: Column | str) -> Column:
     """A-Z in lower case; every other character stays."""
     return F.translate(F.col(col) if isinstance(col, str) else col, UPPER, LOWER)

@@ -6,8 +6,8 @@ the word chooses (one in ``CUT``), after a word's repetition and after ``MOST``
 words without a cut, so that passages without stops have cut points too; they
 are the same wherever the passage stands, from its first chosen word on.
 
-A span is the shortest run from a sentence on that has ``SENTENCES`` sentences
-and ``WORDS`` words at least; its hash is over its words (lower-cased, without
+A span is the shortest run from a sentence on that has ``sentences`` sentences
+and ``least_words`` words at least (parameters); its hash is over its words (lower-cased, without
 punctuation).  Of all spans with one hash in all documents only the first
 stays: in the document with the least id, there at the first place.  A sentence
 that any other one covers is removed.  So any passage of over 50 words that
@@ -17,13 +17,18 @@ Plan: one row (hash, id) for each distinct span of a document, written once to
 the shared checkpoint folder and read by both sides of the search: the owner of
 a hash is an aggregate with partial sums, and rows of hashes that others own
 are found by a join that may be split under skew, then gathered by document (as
-many as it has spans).  Only documents that lose something are cut anew.
-Hashes have 64 bits and decide alone; two different spans share one at odds of
-about the square of their number over 2^65.
-
-Cases: null texts stay null.  Rows that share an id are one document to the
-others: none of them loses sentences to another of them, and a null id is after
-all others.  Other columns are ignored.
+many as it has spans) and checkpointed; then the spans are deleted.  Only
+documents that lose something are cut anew.  Hashes have 64 bits and decide
+alone; two different spans share one at odds of about the square of their
+number over 2^65.
+
+Cases: null texts stay null.  A text with fewer than ``sentences`` sentences or
+``least_words`` words has no span: it is never changed, however often it
+repeats (exact copies of short texts are the near-duplicate operator's matter).
+Rows that share an id are one document to the others: none of them loses
+sentences to another of them.  Rows without an id are documents of their own,
+after all others and told apart by their texts' hashes, of which the least is
+first; equal texts without an id are one document.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import checkpoint_folder, in_bytes, table
+from wayfold.llm.common import checkpoint_folder, checkpointed, delete_folder, in_bytes, table
 
 SENTENCES = 3
 WORDS = 15
@@ -46,7 +51,6 @@ CUT = 6
 MOST = 8
 _SENTENCE = re.compile(r"[^\n]*?[.!?]+(?=\s|$)|[^\n]+", re.MULTILINE)
 _WORD = re.compile(r"[^\W_]+")
-LAST = (1 << 63) - 1
 
 
 class _Cuts(dict):
@@ -108,7 +112,7 @@ def places(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def spans(found: list[tuple[str, int]]) -> list[tuple[int, int, int]]:
+def spans(found: list[tuple[str, int]], sentences: int = SENTENCES, least_words: int = WORDS) -> list[tuple[int, int, int]]:
     """(first sentence, end, hash) of every span."""
     import xxhash
 
@@ -116,21 +120,21 @@ def spans(found: list[tuple[str, int]]) -> list[tuple[int, int, int]]:
     words, sizes = [w for w, _ in found], [n for _, n in found]
     out, end, held = [], 0, 0
     for at in range(len(found)):
-        while end < len(found) and (end - at < SENTENCES or held < WORDS):
+        while end < len(found) and (end - at < sentences or held < least_words):
             held += sizes[end]
             end += 1
-        if end - at < SENTENCES or held < WORDS:
+        if end - at < sentences or held < least_words:
             break
         out.append((at, end, digest(" ".join(words[at:end])) - (1 << 63)))
         held -= sizes[at]
     return out
 
 
-def remaining(text: str, others: set[int]) -> tuple[str, int]:
+def remaining(text: str, others: set[int], sentences: int = SENTENCES, least_words: int = WORDS) -> tuple[str, int]:
     """(text without covered sentences, sentences removed); ``others``: hashes whose first span is elsewhere."""
     found = spoken(text)
     covered, seen = bytearray(len(found)), set()
-    for at, end, value in spans(found):
+    for at, end, value in spans(found, sentences, least_words):
         if value in others or value in seen:
             covered[at:end] = b"\1" * (end - at)
         seen.add(value)
@@ -144,18 +148,19 @@ def remaining(text: str, others: set[int]) -> tuple[str, int]:
     return "".join([*kept, text[at:]]), sum(covered)
 
 
-def span_rows(documents: DataFrame) -> DataFrame:
-    """hash, key and again (it is there more than once) of each distinct span of each row of (key, text)."""
+def span_rows(documents: DataFrame, sentences: int = SENTENCES, least_words: int = WORDS) -> DataFrame:
+    """hash, key, tie and again (it is there more than once) of each distinct span of each row of (key, tie, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in in_bytes(whole, "text"):
-                keys, hashes, again = [], [], []
-                for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    every = [h for _, _, h in spans(spoken(text))] if text else []
+                keys, ties, hashes, again = [], [], [], []
+                for key, tie, text in zip(*(batch.column(n).to_pylist() for n in range(3)), strict=True):
+                    every = [h for _, _, h in spans(spoken(text), sentences, least_words)] if text else []
                     own = set(every)
                     hashes += own
                     keys += [key] * len(own)
+                    ties += [tie] * len(own)
                     if len(own) == len(every):
                         again += [False] * len(own)
                     else:
@@ -163,33 +168,50 @@ def span_rows(documents: DataFrame) -> DataFrame:
                         for h in every:
                             (twice if h in seen else seen).add(h)
                         again += [h in twice for h in own]
-                yield pa.record_batch([pa.array(hashes, pa.int64()), pa.array(keys, pa.int64()), pa.array(again, pa.bool_())], names=["hash", "key", "again"])
+                yield pa.record_batch([pa.array(hashes, pa.int64()), pa.array(keys, pa.int64()), pa.array(ties, pa.int64()), pa.array(again, pa.bool_())], names=["hash", "key", "tie", "again"])
+
+    return documents.mapInArrow(run, "hash long, key long, tie long, again boolean")
+
 
-    return documents.mapInArrow(run, "hash long, key long, again boolean")
+def _losses(rows: DataFrame) -> DataFrame:
+    """key, tie, others: of each document that loses something, the hashes that other documents own."""
+    owners = (
+        rows.groupBy("hash")
+        .agg(F.min("key").alias("first"), F.max("key").alias("last"), F.min("tie").alias("first_tie"), F.max("tie").alias("last_tie"))
+        .where("first < last OR (first IS NOT NULL AND first_tie IS NOT NULL) OR first_tie < last_tie")
+        .select("hash", "first", "first_tie")
+    )
+    # documents with an id are before those without
+    later = (F.col("key") > F.col("first")) | (F.col("key").isNull() & (F.col("first").isNotNull() | (F.col("tie") > F.col("first_tie"))))
+    elsewhere = rows.select("hash", "key", "tie").join(owners, "hash").where(later).select("key", "tie", "hash")
+    within = rows.where("again").select("key", "tie", F.lit(None).cast("long").alias("hash"))
+    return elsewhere.unionAll(within).groupBy("key", "tie").agg(F.collect_set("hash").alias("others"))
 
 
-def deduplicate(documents: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+def deduplicate(documents: DataFrame, *, key: str = "doc_id", text: str = "text", sentences: int = SENTENCES, least_words: int = WORDS) -> DataFrame:
     """key, n_removed (sentences), text (what remains) for each row."""
     spark = documents.sparkSession
-    source = documents.select(F.coalesce(documents[key].cast("long"), F.lit(LAST)).alias("key"), documents[text].alias("text"))
+    own = documents[key].cast("long")
+    source = documents.select(own.alias("key"), F.when(own.isNull(), F.xxhash64(documents[text])).alias("tie"), documents[text].alias("text"))
     path = f"{checkpoint_folder(spark)}/spans-{uuid.uuid4().hex}"
-    span_rows(source).write.parquet(path)
-    rows = spark.read.parquet(path)
-    owners = rows.groupBy("hash").agg(F.min("key").alias("owner"), F.max("key").alias("last")).where("owner < last").select("hash", "owner")
-    elsewhere = rows.select("hash", "key").join(owners, "hash").where("key > owner").select("key", "hash")
-    within = rows.where("again").select("key", F.lit(None).cast("long").alias("hash"))
-    lost = elsewhere.unionAll(within).groupBy("key").agg(F.collect_set("hash").alias("others"))
-    joined = source.join(lost, "key", "left")
+    span_rows(source, sentences, least_words).write.parquet(path)
+    lost = checkpointed(_losses(spark.read.parquet(path)))
+    delete_folder(spark, path)
+    lost = lost.select(F.col("key").alias("_key"), F.col("tie").alias("_tie"), "others")
+    joined = source.join(lost, source["key"].eqNullSafe(F.col("_key")) & source["tie"].eqNullSafe(F.col("_tie")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in in_bytes(whole, "text"):
-                kept = [(t, 0) if t is None or others is None else remaining(t, set(others)) for t, others in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+                kept = [
+                    (t, 0) if t is None or others is None else remaining(t, set(others), sentences, least_words)
+                    for t, others in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+                ]
                 left, gone = zip(*kept, strict=True)
                 yield pa.record_batch([batch.column(0), pa.array(gone, pa.int64()), pa.array(left, pa.string())], names=["key", "n_removed", "text"])
 
     cut = joined.select("key", "text", "others").mapInArrow(run, "key long, n_removed long, text string")
-    return cut.select(F.when(F.col("key") != LAST, F.col("key")).alias(key), "n_removed", F.col("text").alias(text))
+    return cut.select(F.col("key").alias(key), "n_removed", F.col("text").alias(text))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
