@@ -11,14 +11,13 @@ benchmark on kept hashes alone; a met 5-gram is then extended word by word, up
 to five words to each side, and is a hit if ten words in a row are equal.  No
 hash decides.  Items of fewer than ten words meet on the hash of the whole item.
 
-Plan: words are hashed once for each document and ``explode`` makes the
-positions; grams, the choice of the kept ones, the probe of the benchmark and
-the extension run in the same generated code.  The benchmark's fingerprints are
-broadcast if their count is at most ``broadcast_windows``.  More are joined by
-shuffle on the hash: (document, position, hash) goes through that shuffle and
-nothing else, and only the texts of documents that meet something are fetched.
-One small row for each document is joined with its hits; ids with text hashes
-tell documents apart.
+Plan: words are hashed once for each document, and its kept 5-grams are chosen
+in one pass over that array; only (document, position, hash) of those leaves the
+row.  The benchmark's fingerprints are broadcast if their count is at most
+``broadcast_windows``, else both sides are joined by shuffle on the hash.  Only
+the texts of documents that meet something are then fetched for the extension,
+by a join on their id and text hash.  One small row for each document is joined
+with its hits.
 
 Cases: null or wordless texts have no words and no hits.  Items without words
 or with null texts have no windows.  Items that share an ``item_id`` count
@@ -53,11 +52,14 @@ def _word_hash(word: Column) -> Column:
     return F.xxhash64(F.lower(word))
 
 
+def _words(text: str) -> Column:
+    return F.split(F.coalesce(F.col(text), F.lit("")), SEPARATORS)
+
+
 def _prepared(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, words (raw, edges may be empty strings), hashes, n_words."""
-    words = F.split(F.coalesce(F.col(text), F.lit("")), SEPARATORS)
     return (
-        df.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("text_hash"), words.alias("words"))
+        df.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("text_hash"), _words(text).alias("words"))
         .withColumn("hashes", F.transform("words", _word_hash))
         .withColumn(
             "n_words",
@@ -68,63 +70,52 @@ def _prepared(df: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def _hash_at(offset: int) -> Column:
-    return F.get("hashes", F.col("at") + offset)
-
-
-def _run_hash(length: int) -> Column:
-    """The hash of ``length`` words from position ``at`` on."""
-    return F.xxhash64(*[_hash_at(j) for j in range(length)])
-
-
-def _grams() -> Column:
-    """The hashes of all 5-grams, in order."""
+def _with_grams(words: DataFrame) -> DataFrame:
+    """... and grams: the hashes of all 5-grams, in order."""
     places = F.when(F.size("hashes") >= GRAM, F.sequence(F.lit(0), F.size("hashes") - GRAM)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.xxhash64(*[F.get("hashes", i + k) for k in range(GRAM)]))
+    return words.withColumn("grams", F.transform(places, lambda i: F.xxhash64(*[F.get("hashes", i + k) for k in range(GRAM)])))
 
 
-def _kept_gram() -> Column:
-    """The hash of the 5-gram at ``at`` if a window keeps it, else null."""
-    reach, own = WINDOW - GRAM, F.get("grams", F.col("at"))
+def _kept() -> Column:
+    """(need, at, met) of every 5-gram that a window keeps."""
+    reach = WINDOW - GRAM
 
-    def run(side: int, n: int = 1) -> Column:
-        """How many 5-grams in a row are greater (on the left: or equal)."""
-        other = F.get("grams", F.col("at") + side * n)
+    def run(i: Column, side: int, n: int = 1) -> Column:
+        """How many 5-grams in a row are greater than that at ``i`` (on the left: or equal)."""
+        own, other = F.get("grams", i), F.get("grams", i + side * n)
         beyond = other >= own if side < 0 else other > own
-        return F.when(beyond, F.lit(1) + (run(side, n + 1) if n < reach else F.lit(0))).otherwise(F.lit(0))
+        return F.when(beyond, F.lit(1) + (run(i, side, n + 1) if n < reach else F.lit(0))).otherwise(F.lit(0))
 
-    return F.when(run(-1) + run(1) >= reach, own)
+    places = F.when(F.size("grams") > reach, F.sequence(F.lit(0), F.size("grams") - 1)).otherwise(F.array().cast("array<int>"))
+    chosen = F.filter(places, lambda i: run(i, -1) + run(i, 1) >= reach)
+    return F.transform(chosen, lambda i: F.struct(F.lit(WINDOW).alias("need"), i.alias("at"), F.get("grams", i).alias("met")))
 
 
-def _positions(prepared: DataFrame, *more: str) -> DataFrame:
-    """A row for each word, ``at`` its place."""
-    return prepared.withColumn("grams", _grams()).select(*more, "words", "hashes", "grams", F.explode(F.sequence(F.lit(0), F.size("words") - 1)).alias("at"))
+def _runs(length: int) -> Column:
+    """(need, at, met) of every run of ``length`` words."""
+    places = F.when(F.size("hashes") >= length, F.sequence(F.lit(0), F.size("hashes") - length)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.struct(F.lit(length).alias("need"), i.alias("at"), F.xxhash64(*[F.get("hashes", i + k) for k in range(length)]).alias("met")))
 
 
 def _fingerprints(items: DataFrame, short: list[int]) -> DataFrame:
     """Of the benchmark: met (the hash), around (words), lead (how many before the gram), gram and need (lengths), item."""
     first = F.when(F.col("words")[0] == "", 1).otherwise(0)
-    spoken = items.withColumn("words", F.slice("words", first + 1, F.col("n_words"))).withColumn("hashes", F.slice("hashes", first + 1, F.col("n_words")))
-    item = F.col("key").cast("string").alias("item")
-    lead = F.least(F.col("at"), F.lit(WINDOW - GRAM))
-    around = F.transform(F.slice("words", F.col("at") - lead + 1, lead + WINDOW), ascii_lower)
-    kept = _positions(spoken.where(F.col("n_words") >= WINDOW), "key").withColumn("met", _kept_gram()).where("met IS NOT NULL")
-    parts = [kept.select("met", around.alias("around"), lead.alias("lead"), F.lit(GRAM).alias("gram"), F.lit(WINDOW).alias("need"), item)]
+    spoken = items.select("key", "n_words", F.slice("words", first + 1, F.col("n_words")).alias("words"), F.slice("hashes", first + 1, F.col("n_words")).alias("hashes"))
+    item, at = F.col("key").cast("string").alias("item"), F.col("p.at")
+    lead = F.least(at, F.lit(WINDOW - GRAM))
+    around = F.transform(F.slice("words", at - lead + 1, lead + WINDOW), ascii_lower)
+    long = _with_grams(spoken.where(F.col("n_words") >= WINDOW)).select("key", "words", F.explode(_kept()).alias("p"))
+    parts = [long.select(F.col("p.met").alias("met"), around.alias("around"), lead.alias("lead"), F.lit(GRAM).alias("gram"), F.lit(WINDOW).alias("need"), item)]
     for n in short:
-        whole = spoken.where(F.col("n_words") == n).withColumn("at", F.lit(0))
-        parts.append(whole.select(_run_hash(n).alias("met"), F.transform("words", ascii_lower).alias("around"), F.lit(0).alias("lead"), F.lit(n).alias("gram"), F.lit(n).alias("need"), item))
+        whole = spoken.where(F.col("n_words") == n).select("key", "words", F.explode(_runs(n)).alias("p"))
+        parts.append(whole.select(F.col("p.met").alias("met"), F.transform("words", ascii_lower).alias("around"), F.lit(0).alias("lead"), F.lit(n).alias("gram"), F.lit(n).alias("need"), item))
     return reduce(DataFrame.unionAll, parts).distinct()
 
 
-def _probes(prepared: DataFrame, short: list[int], *more: str) -> DataFrame:
-    """Of documents: need, met and at of every kept 5-gram, and of every run as long as a short item."""
-    names = ["key", "text_hash", *more]
-    rows = _positions(prepared, *[n for n in names if n not in ("words", "hashes")]).withColumn("kept", _kept_gram())
-    if not short:
-        return rows.where("kept IS NOT NULL").select(*names, "at", F.lit(WINDOW).alias("need"), F.col("kept").alias("met"))
-    runs = [F.when(F.col("at") + n <= F.size("words"), F.struct(F.lit(n).alias("need"), _run_hash(n).alias("met"))) for n in short]
-    every = F.array(F.when(F.col("kept").isNotNull(), F.struct(F.lit(WINDOW).alias("need"), F.col("kept").alias("met"))), *runs)
-    return rows.select(*names, "at", F.explode(F.array_compact(every)).alias("p")).select(*names, "at", "p.need", "p.met")
+def _probes(prepared: DataFrame, short: list[int]) -> DataFrame:
+    """Of documents: need, at and met of every kept 5-gram, and of every run as long as a short item."""
+    every = F.concat(_kept(), *[_runs(n) for n in short])
+    return _with_grams(prepared).select("key", "text_hash", F.explode(every).alias("p")).select("key", "text_hash", "p.*")
 
 
 def _extended(met: DataFrame) -> DataFrame:
@@ -152,12 +143,12 @@ def hits(documents: DataFrame, benchmark: DataFrame, *, doc_key: str = "doc_id",
     items = _prepared(benchmark, item_key, item_text)
     short = sorted(r[0] for r in items.where(F.col("n_words").between(1, WINDOW - 1)).select("n_words").distinct().collect())
     prints, prepared = _fingerprints(items, short), _prepared(documents, doc_key, doc_text)
-    if prints.count() <= broadcast_windows:
-        return _extended(_probes(prepared, short, "words").join(F.broadcast(prints), ["need", "met"]))
-    met = checkpointed(_probes(prepared, short).join(prints, ["need", "met"]))
+    side = F.broadcast(prints) if prints.count() <= broadcast_windows else prints
+    met = checkpointed(_probes(prepared, short).join(side, ["need", "met"]))
     wanted = met.select(F.col("key").alias("_key"), F.col("text_hash").alias("_hash")).distinct()
-    own = prepared.join(_sized(wanted), prepared["key"].eqNullSafe(F.col("_key")) & (prepared["text_hash"] == F.col("_hash")), "left_semi")
-    words = own.select(F.col("key").alias("_key"), F.col("text_hash").alias("_hash"), "words").dropDuplicates(["_key", "_hash"])
+    rows = documents.select(documents[doc_key].alias("key"), documents[doc_text].alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    own = rows.join(_sized(wanted), rows["key"].eqNullSafe(F.col("_key")) & (rows["text_hash"] == F.col("_hash")), "left_semi")
+    words = own.dropDuplicates(["key", "text_hash"]).select(F.col("key").alias("_key"), F.col("text_hash").alias("_hash"), _words("text").alias("words"))
     return _extended(met.join(words, met["key"].eqNullSafe(F.col("_key")) & (met["text_hash"] == F.col("_hash"))))
 
 
