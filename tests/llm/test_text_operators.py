@@ -170,8 +170,59 @@ def test_url_index_finds_what_all_rules_find():
     words = ["casino", "cheap-pills", "free-bets", "spam-farm", "ads-track", "utm_source=feed", "example", "org", "de", "www"]
     for _ in range(2000):
         url = "http://" + ".".join(rng.choice(words) for _ in range(3)) + "/" + rng.choice(["de/12", "en/3", ""]) + rng.choice(["", "?utm_source=feed", "#x"])
-        hit = {v for v, _, e in url_filters.PATTERN_RULES if re.search(e, url)}
-        assert own.pattern_verdict(url) == ("allow" if "allow" in hit or "block" not in hit else "block")
+        hit = {v for v, e in url_filters.PATTERN_RULES if re.search(e, url)}
+        assert (own.pattern_verdict(url) or "allow") == ("allow" if "allow" in hit or "block" not in hit else "block")
+
+
+@pytest.mark.parametrize(
+    ("expression", "wanted"),
+    [
+        (r"://([^/?#]*[.-])?casino[.-]", ("casino",)),
+        (r"\.org/de/[0-9]+([./?#]|$)", ("org", "de")),
+        (r"[?&]utm_source=feed(&|#|$)", ("utm", "source", "feed")),
+        (r"casino", ()),  # it may be a piece of a longer token
+        (r"/free[a-z]?bets/", ()),
+        (r"/(a|b)c/", ()),
+        (r"/(ads)?/x/", ("x",)),
+        (r"^pills\.", ("pills",)),
+        (r"-pills$", ("pills",)),
+        (r"/x*y/", ()),
+        (r"[^/]bad/", ()),
+    ],
+)
+def test_tokens_stand_by_themselves_in_every_match(expression, wanted):
+    assert url_filters.tokens_of(expression) == wanted
+
+
+def test_url_frames_in_parts_of_the_rules(spark):
+    urls = ["http://www.example.com/en/1", "http://a.net/es/", "http://casino.org/x", "http://casino.example.org/de/1", None, "", "no scheme", "http://a.com", "x" * 50_000, "HTTP://Free-Bets.NET/fr/2"]
+    pages = spark.createDataFrame([(n, u, "h", "p", "r") for n, u in enumerate(urls)] + [(None, urls[0], "h", "p", "r")] * 2, "page_id long, url string, host string, path string, rule string")
+    whole = url_filters.Filter(url_filters.HOST_RULES, url_filters.PATTERN_RULES)
+    wanted = sorted([(n, *whole.judge(u)) for n, u in enumerate(urls)] + [(None, *whole.judge(urls[0]))] * 2, key=repr)
+    hosts = spark.createDataFrame(list(url_filters.HOST_RULES), "verdict string, host string, path string")
+    patterns = spark.createDataFrame(list(url_filters.PATTERN_RULES), "verdict string, expression string")
+    for most in (1, 3, 100):
+        rules = url_filters.read_rules(hosts, patterns, most)
+        assert sorted(map(tuple, url_filters.judge_pages(pages, rules).collect()), key=repr) == wanted
+    assert url_filters.judge_pages(pages.where("false"), whole).collect() == []
+    free = url_filters.judge_pages(pages, url_filters.read_rules(hosts.where("false"), patterns.where("false"))).collect()
+    assert {r.verdict for r in free} == {"allow"}
+
+
+def test_secret_frames(spark):
+    encoding = secret_scans.vocabulary(BYTES)
+    key = "q7Zk2mX9vB4tR8nL1pW6sD3fG5hJ0cYa"
+    texts_ = ["token = abcdef123", f"é {key} AKIA{'B' * 16}", "clean words only", "", None, ("word " * 30_000) + key, "0123456789abcdef" * 3]
+    rows = [(n, t) for n, t in enumerate(texts_)] + [(None, texts_[0]), (0, texts_[0])]
+    got = secret_scans.scan_documents(frame(spark, rows), BYTES).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        found = secret_scans.scan(texts_[r.doc_id or 0] or "", encoding)
+        assert [r.n_assign, r.n_access, r.n_hex, r.n_random] == [sum(k == kind for _, k, _ in found) for kind in range(4)]
+        base = _brute_secrets(texts_[r.doc_id or 0] or "")
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{secret_scans.KINDS[k]}:{a}:{b}" for a, k, b in base).encode()).hexdigest()
+        assert r.spans == ",".join(f"{secret_scans.KINDS[k]}:{a}:{b}" for a, k, b in found)
+    assert [r.n_random for r in got if r.doc_id == 5] == [1] and secret_scans.scan_documents(frame(spark, []), BYTES).collect() == []
 
 
 def test_languages(spark):
