@@ -144,13 +144,25 @@ def zigzag(value: Column) -> Column:
     return F.shiftright(value, 63).bitwiseXOR(F.shiftleft(value, 1))
 
 
+def unzigzag(value: Column) -> Column:
+    return F.shiftrightunsigned(value, 1).bitwiseXOR(-value.bitwiseAND(F.lit(1).cast("long")))
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def parse_speed(value: Column) -> Column:
     """km/h of a maxspeed value; null if it is none."""
-    digits = F.regexp_extract(value, r"^([0-9]{1,5})( (mph|knots|km/h))?$", 1)
-    unit = F.regexp_extract(value, r"^([0-9]{1,5})( (mph|knots|km/h))?$", 3)
-    n = F.when(digits != "", digits.cast("int"))
-    scaled = F.when(unit == "mph", F.floor(n * 1.609344 + 0.5)).when(unit == "knots", F.floor(n * 1.852 + 0.5)).otherwise(n)
-    return F.when(value == "none", F.lit(1023)).when(value == "walk", F.lit(7)).otherwise(F.pmod(scaled, F.lit(65536))).cast("int")
+
+    def units(split: Column) -> Column:
+        n, unit = F.get(split, 0).cast("int"), F.get(split, 1)
+        scaled = F.when(unit == "mph", F.floor(n * 1.609344 + 0.5)).when(unit == "knots", F.floor(n * 1.852 + 0.5)).otherwise(n)
+        return F.when(value == "none", F.lit(1023)).when(value == "walk", F.lit(7)).when(value.rlike(r"^[0-9]{1,5}( (mph|knots|km/h))?$"), F.pmod(scaled, F.lit(65536))).cast("int")
+
+    # other values become two empty parts, so that nothing is cast that is no number
+    return let(F.when(value.rlike(r"^[0-9]{1,5}( |$)"), F.split(value, " ")), units)
 
 
 def routable(access: Column) -> Column:

@@ -7,10 +7,12 @@ sort and counts of earlier partitions, never from one task.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.functions import scalars
+from wayfold.functions import dims, scalars
 
 
 def dense_index(frame: DataFrame, key: str, name: str = "idx") -> DataFrame:
@@ -103,6 +105,104 @@ def way_edges(positions: DataFrame, needed: DataFrame) -> DataFrame:
     return ahead.where(F.col("to_id").isNotNull())
 
 
+def country_changes(ways: DataFrame) -> DataFrame:
+    """way_id, pos, ncc, after: nodes of ways (way_id, pos, ncc) whose next node lies in another country."""
+    ahead = ways.select("way_id", "pos", "ncc", F.lead("ncc").over(Window.partitionBy("way_id").orderBy("pos")).alias("after"))
+    return ahead.where("after <> ncc")
+
+
+def rejected_ways(ways: DataFrame, roads: DataFrame, nodes: DataFrame) -> DataFrame:
+    """way_id, n (nodes), uniq (nodes that differ from the one before), reason: why a way is left out; null if it is kept.
+
+    ``ways``: way_id, pos, ref; ``roads``: way_id, highway; ``nodes``: the ids that are there.
+    """
+    order = Window.partitionBy("way_id").orderBy("pos")
+    there = nodes.select(F.col("id").alias("ref"), F.lit(True).alias("there"))
+    seen = ways.withColumn("before", F.lag("ref").over(order)).join(there, "ref", "left")
+    by = seen.groupBy("way_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("before").isNull() | (F.col("ref") != F.col("before"))).alias("uniq"), F.max(F.col("there").isNull()).alias("lacking"))
+    road = roads.select("way_id", F.col("highway").isin(*dims.ROADS).alias("road"))
+    reason = (
+        F.when(F.col("n") <= 1, "one node").when(~F.coalesce("road", F.lit(False)), "no road").when(F.col("lacking"), "missing node").when(F.col("uniq") <= 1, "no length")
+    )
+    return by.join(road, "way_id", "left").select("way_id", "n", "uniq", reason.alias("reason"))
+
+
+def _counters(frame: DataFrame, **columns) -> DataFrame:
+    """counter, value: one row for each aggregate."""
+    names = list(columns)
+    one = frame.agg(*[c.cast("long").alias(f"c{n}") for n, c in enumerate(columns.values())])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(name.replace("_", " ")).alias("counter"), F.col(f"c{n}").alias("value")) for n, name in enumerate(names)])).alias("r")).select("r.*")
+
+
+def build_statistics(ways: DataFrame, edge_rows: DataFrame) -> DataFrame:
+    """counter, value: what a graph build counts, each part in one pass with partial sums."""
+    count, cm, speed = F.count(F.lit(1)), F.col("distance_cm"), F.col("maxspeed")
+    of_edges = _counters(
+        edge_rows, edges=count, edges_inverted=F.count_if("inverted"), edges_both_directions=F.count_if("both_directions"), edges_contra_way=F.count_if("contra_way"), edges_restricted=F.count_if("restricted"),
+        edges_self=F.count_if(F.col("from_id") == F.col("to_id")), edges_important=F.count_if(F.col("highway") <= 4), cm_sum=F.sum(cm), cm_max=F.max(cm), cm_min=F.min(cm), speed_max=F.max(speed), speed_min=F.min(speed),
+    )
+    pairs = edge_rows.where("from_id <> to_id").select("from_id", "to_id").distinct()
+    at = edge_rows.groupBy("from_id").agg(count.alias("n"), F.count_if(~F.col("inverted")).alias("f"))
+    of_nodes = _counters(at, nodes=count, node_edges_max=F.max("n"), node_edges_min=F.min("n"), nodes_one_edge=F.count_if(F.col("n") == 1), nodes_no_way_out=F.count_if(F.col("f") == 0))
+    by = ways.groupBy("way_id").agg(count.alias("n"))
+    of_ways = _counters(by, ways=count, way_nodes=F.sum("n"), way_nodes_max=F.max("n"), way_nodes_min=F.min("n"), ways_one_node=F.count_if(F.col("n") == 1))
+    return of_edges.unionAll(_counters(pairs, edges_unique_target=count)).unionAll(of_nodes).unionAll(of_ways)
+
+
+def validation(ordered: DataFrame, nodes: DataFrame) -> DataFrame:
+    """invariant, broken: rows that break each invariant of ordered edges."""
+    at = Window.partitionBy("from_id").orderBy("off")
+    key = F.struct("inverted", "to_id", "way_id")
+    unordered = ordered.select((key < F.lag(key).over(at)).alias("bad")).where("bad")
+    twice = ordered.groupBy("from_id", "to_id", "way_id", "inverted").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    back = ordered.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"), "way_id", "inverted")
+    keys = ["from_id", "to_id", "way_id"]
+    lone = ordered.where("inverted").join(back.where("NOT inverted"), keys, "left_anti")
+    one_way = ordered.where("both_directions").join(back, keys, "left_anti")
+    lost = ordered.join(nodes.select(F.col("id").alias("to_id")), "to_id", "left_anti")
+    indexed = dense_index(nodes.select("id"), "id")
+    bucket = Window.partitionBy(F.floor(F.col("idx") / 1024)).orderBy("idx")
+    disordered = indexed.select((F.col("id") <= F.lag("id").over(bucket)).alias("bad")).where("bad")
+    checks = {"edges in order": unordered, "no edge twice": twice, "inverted edges have a driven twin": lone, "two-way edges come back": one_way, "targets are nodes": lost, "nodes in order": disordered}
+    parts = [rows.agg(F.count(F.lit(1)).alias("broken")).select(F.lit(name).alias("invariant"), "broken") for name, rows in checks.items()]
+    return reduce(DataFrame.unionAll, parts)
+
+
+def disk_usage(frame: DataFrame, columns: list[str]) -> DataFrame:
+    """col, n, least, most, mean, bits, bytes: what bit-packed columns of whole numbers take."""
+    long = frame.select(F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("long").alias("v")) for c in columns])).alias("x")).select("x.*")
+    by = long.groupBy("col").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), F.sum("v").alias("total"))
+    bits = F.length(F.bin("most"))
+    return by.select("col", "n", "least", "most", scalars.whole_div(F.col("total"), F.col("n")).alias("mean"), bits.cast("int").alias("bits"), F.floor((F.col("n") * bits + 7) / 8).alias("bytes"))
+
+
+def route_answers(found: DataFrame, requests: DataFrame, steps: DataFrame, weighted: DataFrame, nodes: DataFrame) -> DataFrame:
+    """req_id, json: ``Ok`` with route, leg, steps, manoeuvres and way points, or ``NoRoute``.
+
+    ``found``: req_id, metric (milliseconds), path; ``steps``: from_id, to_id, distance_cm, name.
+    """
+    legs = found.where(F.size("path") > 1).select("req_id", F.posexplode(F.transform(F.slice("path", F.lit(1), F.size("path") - 1), lambda n, i: F.struct(n.alias("from_id"), F.get("path", i + 1).alias("to_id"), (i == F.size("path") - 2).alias("last")))).alias("pos", "s")).select("req_id", "pos", "s.*")
+    once = steps.groupBy("from_id", "to_id").agg(F.min(F.struct("distance_cm", "name")).alias("w"))
+    quick = weighted.groupBy("from_id", "to_id").agg(F.min("weight").alias("ms"))
+    priced = legs.join(once, ["from_id", "to_id"]).join(quick, ["from_id", "to_id"])
+    at = nodes.select(F.col("id"), F.array(F.col("lon_e6") / 1e6, F.col("lat_e6") / 1e6).alias("location"))
+    placed = priced.join(at.withColumnRenamed("id", "from_id"), "from_id")
+    kind = F.when(F.col("pos") == 0, "depart").when(F.col("last"), "arrive").otherwise("turn")
+    step = F.struct(F.round(F.col("w.distance_cm") / 100, 1).alias("distance"), F.round(F.col("ms") / 1000, 1).alias("duration"), F.col("w.name").alias("name"), F.struct(kind.alias("type"), "location").alias("maneuver"))
+    leg = placed.groupBy("req_id").agg(F.array_sort(F.collect_list(F.struct("pos", step.alias("step")))).alias("steps"), F.sum("w.distance_cm").alias("cm"))
+    ends = requests.join(at.select(F.col("id").alias("source"), F.col("location").alias("first")), "source", "left").join(at.select(F.col("id").alias("target"), F.col("location").alias("second")), "target", "left")
+    whole = found.join(leg, "req_id", "left").join(ends, "req_id")
+    route = F.struct(
+        F.round(F.coalesce("cm", F.lit(0)) / 100, 1).alias("distance"),
+        F.round(F.col("metric") / 1000, 1).alias("duration"),
+        F.array(F.struct(F.coalesce(F.transform("steps", lambda s: s["step"]), F.array()).alias("steps"))).alias("legs"),
+    )
+    points = F.array(F.struct(F.col("first").alias("location")), F.struct(F.col("second").alias("location")))
+    good = F.to_json(F.struct(F.lit("Ok").alias("code"), F.array(route).alias("routes"), points.alias("waypoints")))
+    bad = F.to_json(F.struct(F.lit("NoRoute").alias("code"), F.lit("no route between the points").alias("message")))
+    return whole.select("req_id", F.when(F.col("metric").isNotNull(), good).otherwise(bad).alias("json"))
+
+
 def deduped(values: DataFrame, col: str) -> DataFrame:
     """value, n, place: a dictionary by popularity, ties by the least first place (``pos``)."""
     counted = values.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
@@ -115,21 +215,3 @@ def best_highway(edge_rows: DataFrame) -> DataFrame:
     both = at.select(F.col("from_id").alias("node"), "highway", F.lit(1).alias("out")).unionAll(at.select(F.col("to_id").alias("node"), "highway", F.lit(0).alias("out")))
     by = both.groupBy("node", "highway").agg(F.sum("out").alias("n_out"), F.count_if(F.col("out") == 0).alias("n_in"))
     return by.groupBy("node").agg(F.min(F.struct("highway", "n_out", "n_in")).alias("m")).select("node", F.col("m.highway").alias("best"), F.col("m.n_out").alias("n_out"), F.col("m.n_in").alias("n_in"))
-
-
-def turn_costs(pairs: DataFrame, coords: DataFrame, lengths: DataFrame) -> DataFrame:
-    """Curve cost of each pair of consecutive edges by the angle between them.
-
-    Every edge's own angle is computed once, before the pairs meet it.
-    """
-
-    def at(end: str, name: str) -> DataFrame:
-        return coords.select(F.col("id").alias(end), F.col("lat_e6").alias(f"{name}_lat"), F.col("lon_e6").alias(f"{name}_lon"))
-
-    placed = lengths.join(at("from_id", "p"), "from_id").join(at("to_id", "q"), "to_id")
-    east = placed.select("from_id", "to_id", scalars.angle_to_east(F.col("p_lat"), F.col("p_lon"), F.col("q_lat"), F.col("q_lon"), F.col("distance_cm")).alias("east"))
-    first = east.select(F.col("from_id").alias("n0"), F.col("to_id").alias("n1"), F.col("east").alias("east_1"))
-    second = east.select(F.col("from_id").alias("n1"), F.col("to_id").alias("n2"), F.col("east").alias("east_2"))
-    turned = pairs.join(first, ["n0", "n1"]).join(second, ["n1", "n2"]).select("n0", "n1", "n2", scalars.turn_angle(F.col("east_1"), F.col("east_2")).alias("angle"))
-    priced = turned.withColumn("cost_ms", F.when(F.col("n0") == F.col("n2"), F.lit(20_000)).otherwise(scalars.curve_cost(F.col("angle"))))
-    return priced.select("n0", "n1", "n2", "angle", "cost_ms", scalars.compress_turn_cost(F.col("cost_ms").cast("long")).alias("code"))

@@ -1,8 +1,9 @@
 """Fixpoints and shortest paths on road graphs.
 
 Whole-graph fixpoints are checkpointed rounds of joins and aggregations.
-Many-source searches run one search for each source in Arrow-backed groups, on
-a graph sent to the tasks only after a count of its edges.
+Many-source searches run one search for each source in the tasks, on arrays of
+a graph that is sent only after a count of its edges; larger graphs are
+searched by rounds of joins.
 """
 
 from __future__ import annotations
@@ -10,14 +11,16 @@ from __future__ import annotations
 import heapq
 import tempfile
 from collections.abc import Callable
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.operators.components import connected_components
 
-#: Edges of a graph that may be sent to every task: about 200 MB there.
+#: Edges of a graph that may be sent to every task: 12 bytes each there, and 24 in the driver.
 MOST_SENT = 5_000_000
 
 
@@ -25,7 +28,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` cut from its lineage in the session's shared checkpoint folder."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wayfold-checkpoint-"))
+        named = context.getConf().get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="wayfold-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
@@ -151,68 +157,191 @@ def searched(graph: dict[int, list[tuple[int, int]]], source: int, target: int |
     return done, before
 
 
-def adjacency(edges: DataFrame) -> dict[int, list[tuple[int, int]]]:
-    """The graph of (from_id, to_id, weight), if it has at most ``MOST_SENT`` edges."""
-    n = edges.count()
-    if n > MOST_SENT:
-        raise ValueError(f"{n} edges are too many to send; use distances()")
-    near: dict[int, list[tuple[int, int]]] = {}
-    for r in edges.select("from_id", "to_id", "weight").toLocalIterator():
-        near.setdefault(r["from_id"], []).append((r["to_id"], r["weight"]))
-    return near
+@dataclass
+class Network:
+    """A graph as arrays: nodes in order, and each node's outgoing edges side by side."""
+
+    nodes: np.ndarray
+    starts: np.ndarray
+    targets: np.ndarray
+    weights: np.ndarray
+
+    def place(self, node: int) -> int:
+        at = int(np.searchsorted(self.nodes, node))
+        return at if at < len(self.nodes) and self.nodes[at] == node else -1
+
+    def fan(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(edges, their place in ``at``) of all edges that leave some nodes."""
+        n = self.starts[at + 1] - self.starts[at]
+        owner = np.repeat(np.arange(len(at)), n)
+        return np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.starts[at], n), owner
+
+    def metrics(self, source: int) -> np.ndarray:
+        """Least metric of every node from the place ``source``; negative where there is no way.
+
+        Whole frontiers are relaxed at once, near ones first: a node goes on
+        once the metrics under the current bound are settled.
+        """
+        best = np.full(len(self.nodes), _FAR, np.int64)
+        best[source] = 0
+        step = max(1, int(self.weights.mean())) if len(self.weights) else 1
+        waiting, bound = np.array([source]), step
+        while len(waiting):
+            near = waiting[best[waiting] <= bound]
+            if not len(near):
+                bound = int(best[waiting].min()) + step
+                continue
+            edges, owner = self.fan(near)
+            target, metric = self.targets[edges], best[near][owner] + self.weights[edges]
+            better = metric < best[target]
+            target, metric = target[better], metric[better]
+            np.minimum.at(best, target, metric)
+            waiting = np.union1d(waiting[best[waiting] > bound], target)
+        return np.where(best == _FAR, -1, best)
+
+    def tree(self, source: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(metrics, predecessors, links from the source): of equal ways the one with the least predecessor and the fewest links."""
+        best = self.metrics(source)
+        before, depth = np.full(len(best), -1), np.full(len(best), -1)
+        depth[source] = 0
+        now, level = np.array([source]), 0
+        while len(now):
+            edges, owner = self.fan(now)
+            target = self.targets[edges]
+            tight = (best[now][owner] + self.weights[edges] == best[target]) & ((depth[target] < 0) | (depth[target] == level + 1))
+            target, origin = target[tight], now[owner[tight]]
+            first = np.lexsort((origin, target))
+            target, origin = target[first], origin[first]
+            fresh = np.concatenate([[True], target[1:] != target[:-1]]) if len(target) else np.zeros(0, bool)
+            now, level = target[fresh], level + 1
+            before[now], depth[now] = origin[fresh], level
+        return best, before, depth
+
+
+_FAR = np.iinfo(np.int64).max
+
+
+def network(edges: DataFrame) -> Network | None:
+    """The graph of (from_id, to_id, weight) as arrays; None if it has more than ``MOST_SENT`` edges."""
+    if edges.count() > MOST_SENT:
+        return None
+    rows = edges.select("from_id", "to_id", "weight").toArrow()
+    a, b, w = (rows.column(n).to_numpy().astype(np.int64) for n in ("from_id", "to_id", "weight"))
+    nodes = np.unique(np.concatenate([a, b]))
+    source, target = np.searchsorted(nodes, a), np.searchsorted(nodes, b)
+    order = np.lexsort((target, source))
+    starts = np.searchsorted(source[order], np.arange(len(nodes) + 1))
+    return Network(nodes, starts, target[order].astype(np.int32), w[order])
 
 
 def routes(edges: DataFrame, requests: DataFrame) -> DataFrame:
-    """req_id, metric, path (array of nodes) of (req_id, source, target); metric null if there is none."""
-    shared = edges.sparkSession.sparkContext.broadcast(adjacency(edges))
+    """req_id, metric, path (array of nodes) of (req_id, source, target); metric null and path empty if there is none.
+
+    A graph that can be sent is searched in the tasks; a larger one by rounds
+    of joins, and paths are then walked backwards for all requests together.
+    """
+    sent = network(edges)
+    if sent is None:
+        return _joined_routes(edges, requests)
+    shared = edges.sparkSession.sparkContext.broadcast(sent)
 
     def run(batches):
+        graph = shared.value
         for rows in batches:
             out = []
             for req, source, target in zip(rows["req_id"], rows["source"], rows["target"], strict=True):
-                done, before = searched(shared.value, int(source), int(target))
-                path = [int(target)] if target in done else []
-                while path and path[-1] != source:
-                    path.append(before[path[-1]])
-                out.append((req, done.get(int(target)), path[::-1]))
+                first, last = graph.place(int(source)), graph.place(int(target))
+                metric, path = None, []
+                if first >= 0 and last >= 0:
+                    best, before, _ = graph.tree(first)
+                    if best[last] >= 0:
+                        metric, path = int(best[last]), [last]
+                        while path[-1] != first:
+                            path.append(int(before[path[-1]]))
+                out.append((req, metric, [int(graph.nodes[n]) for n in reversed(path)]))
             yield pd.DataFrame(out, columns=["req_id", "metric", "path"]).astype({"metric": "Int64"})
 
     return requests.select("req_id", "source", "target").mapInPandas(run, "req_id long, metric long, path array<long>")
 
 
+def _joined_routes(edges: DataFrame, requests: DataFrame) -> DataFrame:
+    """``routes`` without sending the graph."""
+    # a link counts one besides its weight, so that of equal ways the one with the fewest links is least, as in ``tree``
+    unit = 1 << 20
+    links = checkpointed(edges.groupBy("from_id", "to_id").agg((F.min("weight") * unit + 1).alias("weight")))
+    best = distances(links, requests.select("source").distinct())
+    found = requests.select("req_id", "source", "target").join(best.withColumnRenamed("node", "target"), ["source", "target"], "left")
+    ahead = best.join(links, best["node"] == links["from_id"]).select("source", F.col("node").alias("origin"), F.col("to_id").alias("node"), (F.col("metric") + F.col("weight")).alias("metric"))
+    before = checkpointed(ahead.join(best, ["source", "node", "metric"]).groupBy("source", "node").agg(F.min("origin").alias("origin")))
+    known = F.col("metric").isNotNull()
+    paths = checkpointed(found.select("req_id", "source", F.when(known, F.col("target")).alias("at"), F.floor(F.col("metric") / unit).alias("metric"), F.when(known, F.array("target")).otherwise(F.array().cast("array<long>")).alias("path")))
+    while not (walking := paths.where("at <> source")).isEmpty():
+        back = walking.join(before.withColumnRenamed("node", "at"), ["source", "at"]).select("req_id", "source", F.col("origin").alias("at"), "metric", F.concat(F.array("origin"), "path").alias("path"))
+        paths = checkpointed(back.unionByName(paths.where("at IS NULL OR at = source")))
+    return paths.select("req_id", "metric", "path")
+
+
 def many_distances(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """source, node, metric by one search for each source, in the tasks."""
-    shared = edges.sparkSession.sparkContext.broadcast(adjacency(edges))
+    """source, node, metric of every reachable node: in the tasks if the graph can be sent, else by rounds of joins."""
+    sent = network(edges)
+    if sent is None:
+        return distances(edges, sources.select("source").distinct())
+    shared = edges.sparkSession.sparkContext.broadcast(sent)
 
     def run(batches):
+        graph = shared.value
         for rows in batches:
             for source in rows["source"]:
-                done, _ = searched(shared.value, int(source))
-                yield pd.DataFrame({"source": int(source), "node": list(done), "metric": list(done.values())})
+                at = graph.place(int(source))
+                best = graph.metrics(at) if at >= 0 else np.zeros(0, np.int64)
+                reached = np.flatnonzero(best >= 0)
+                nodes, metrics = (graph.nodes[reached], best[reached]) if at >= 0 else ([int(source)], [0])
+                yield pd.DataFrame({"source": int(source), "node": nodes, "metric": metrics})
+
+    # a source is a search over the whole graph: each goes to a task of its own
+    spread = sources.select("source").distinct().repartition(64, "source")
+    return spread.mapInPandas(run, "source long, node long, metric long")
+
 
-    return sources.select("source").mapInPandas(run, "source long, node long, metric long")
+def tree_sums(before: np.ndarray, depth: np.ndarray) -> np.ndarray:
+    """How many nodes lie at or behind each node of a search tree, summed from the farthest level on."""
+    sums = (depth >= 0).astype(np.int64)
+    for level in range(int(depth.max(initial=0)), 0, -1):
+        own = np.flatnonzero(depth == level)
+        np.add.at(sums, before[own], sums[own])
+    return sums
 
 
 def traffic(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """from_id, to_id, visits: over how many shortest paths from sources to nodes an edge lies.
 
-    Each search's tree is summed from its farthest nodes to its source.
+    Each search's tree is summed from its farthest nodes to its source.  A
+    graph that can't be sent is refused: cut it by country or cluster first.
     """
-    shared = edges.sparkSession.sparkContext.broadcast(adjacency(edges))
+    sent = network(edges)
+    if sent is None:
+        raise ValueError(f"more than {MOST_SENT} edges: traffic needs a graph that can be sent")
+    shared = edges.sparkSession.sparkContext.broadcast(sent)
 
     def run(batches):
+        graph = shared.value
+        parts: dict[tuple[int, int], int] = {}
         for rows in batches:
-            sums: dict[tuple[int, int], int] = {}
             for source in rows["source"]:
-                done, before = searched(shared.value, int(source))
-                weight = dict.fromkeys(done, 1)
-                for node in reversed(done):
-                    if node in before:
-                        sums[(before[node], node)] = sums.get((before[node], node), 0) + weight[node]
-                        weight[before[node]] += weight[node]
-            yield pd.DataFrame([(a, b, n) for (a, b), n in sums.items()], columns=["from_id", "to_id", "visits"], dtype="int64")
-
-    return sources.select("source").mapInPandas(run, "from_id long, to_id long, visits long").groupBy("from_id", "to_id").agg(F.sum("visits").alias("visits"))
+                at = graph.place(int(source))
+                if at < 0:
+                    continue
+                _, before, depth = graph.tree(at)
+                total = tree_sums(before, depth)
+                own = np.flatnonzero(before >= 0)
+                for a, b, n in zip(before[own].tolist(), own.tolist(), total[own].tolist(), strict=True):
+                    parts[a, b] = parts.get((a, b), 0) + n
+        if parts:
+            ends = np.array(list(parts), np.int64)
+            yield pd.DataFrame({"from_id": graph.nodes[ends[:, 0]], "to_id": graph.nodes[ends[:, 1]], "visits": list(parts.values())})
+
+    spread = sources.select("source").distinct().repartition(64, "source")
+    return spread.mapInPandas(run, "from_id long, to_id long, visits long").groupBy("from_id", "to_id").agg(F.sum("visits").alias("visits"))
 
 
 def modularity(links: DataFrame, clusters: DataFrame, gamma: float = 1.0) -> DataFrame:

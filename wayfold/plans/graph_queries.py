@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import scalars
 from wayfold.operators import road_graph, routing
-from wayfold.plans.tag_queries import _TURN, LOCATED, _steep
+from wayfold.plans.tag_queries import LOCATED
 from wayfold.sources import derived
 
 
@@ -43,9 +43,10 @@ def flt02(spark, sf_dir):
 
 
 def flt03(spark, sf_dir):
-    w = derived.ways(spark, sf_dir)
-    by = w.groupBy("way_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("ref").alias("uniq"))
-    return by.where((F.col("n") > 1) & (F.col("uniq") > 1) & (F.col("way_id") % 27 < 23)).select("way_id", "n", "uniq")
+    """Ways with the reason why they are left out, if any."""
+    ways, links = derived.ways(spark, sf_dir), derived.links(spark, sf_dir)
+    known = derived.tagged_ways(spark, sf_dir).select("way_id", F.get(F.filter("tags", lambda t: t["k"] == "highway"), 0)["v"].alias("highway"))
+    return road_graph.rejected_ways(ways, known, derived.nodes(links).where("id % 97 <> 1"))
 
 
 def jon01(spark, sf_dir):
@@ -62,7 +63,12 @@ def jon02(spark, sf_dir):
 
 
 def jon03(spark, sf_dir):
-    return _edges(spark, sf_dir).groupBy("highway", "maxspeed").agg(F.count(F.lit(1)).alias("n"), F.sum("distance_cm").alias("cm"))
+    """Edges with their target's coordinates and their way's attributes, summed by class."""
+    e = _edges(spark, sf_dir).select("to_id", "way_id", "highway", "distance_cm")
+    target = derived.nodes(derived.links(spark, sf_dir)).select(F.col("id").alias("to_id"), F.col("lat_e6").alias("to_lat"))
+    ways = derived.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("way_id"), "o_orderpriority")
+    met = e.join(target, "to_id").join(ways, "way_id")
+    return met.groupBy("highway", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.sum("distance_cm").alias("cm"), F.max("to_lat").alias("north"))
 
 
 def jon04(spark, sf_dir):
@@ -93,8 +99,8 @@ def agg04(spark, sf_dir):
 
 
 def agg03(spark, sf_dir):
-    e = _edges(spark, sf_dir)
-    return e.agg(F.count(F.lit(1)).alias("edges"), F.count_if("inverted").alias("inverted"), F.count_if("restricted").alias("restricted"), F.sum("distance_cm").alias("cm"), F.max("distance_cm").alias("longest"), F.min("distance_cm").alias("shortest"))
+    """Counters of a graph build, one row each."""
+    return road_graph.build_statistics(derived.ways(spark, sf_dir), _edges(spark, sf_dir))
 
 
 def agg05(spark, sf_dir):
@@ -203,33 +209,31 @@ def set04(spark, sf_dir):
 
 
 def grf05(spark, sf_dir):
-    return routing.bridges(derived.links(spark, sf_dir))
+    return routing.bridges(derived.streets(spark, sf_dir))
 
 
 def grf06(spark, sf_dir):
-    links = derived.links(spark, sf_dir)
-    return routing.dead_ends(links, routing.bridges(links))
-
-
-def grf17(spark, sf_dir):
-    e = _edges(spark, sf_dir)
-    nodes = derived.nodes(derived.links(spark, sf_dir))
-    return road_graph.turn_costs(road_graph.edge_pairs(e).select("n0", "n1", "n2"), nodes, e.where(~F.col("inverted")).select("from_id", "to_id", "distance_cm"))
+    links = derived.streets(spark, sf_dir)
+    return routing.dead_ends(links, routing.checkpointed(routing.bridges(links)))
 
 
 def _sources(spark, sf_dir) -> DataFrame:
-    return derived.nodes(derived.links(spark, sf_dir)).orderBy("id").limit(5).select(F.col("id").alias("source"))
+    """The nodes that are nearest to a point and within 100 m of it."""
+    return jon09(spark, sf_dir).where(F.col("distance_cm") < 10_000).select(F.col("node").alias("source")).distinct()
 
 
 def grf30(spark, sf_dir):
-    return routing.distances(_weighted(spark, sf_dir), _sources(spark, sf_dir))
+    return routing.many_distances(_weighted(spark, sf_dir), _sources(spark, sf_dir))
+
+
+def _requests(spark, sf_dir) -> DataFrame:
+    """A route from each nation's customer to its part; some of them are no nodes of the graph."""
+    k = F.col("n_nationkey").cast("long")
+    return derived.table(spark, sf_dir, "nation").select(k.alias("req_id"), ((k * 7 + 1) * 2).alias("source"), ((k * 11 + 3) * 2 + 1).alias("target"))
 
 
 def grf33(spark, sf_dir):
-    nodes = derived.nodes(derived.links(spark, sf_dir))
-    first, last = nodes.orderBy("id").limit(1).select(F.col("id").alias("source")), nodes.orderBy(F.col("id").desc()).limit(20).select(F.col("id").alias("target"))
-    requests = last.join(F.broadcast(first)).select(F.col("target").alias("req_id"), "source", "target")
-    return routing.routes(_weighted(spark, sf_dir), requests).select("req_id", "metric")
+    return routing.routes(_weighted(spark, sf_dir), _requests(spark, sf_dir)).select("req_id", "metric")
 
 
 def grf52(spark, sf_dir):
@@ -237,9 +241,9 @@ def grf52(spark, sf_dir):
 
 
 def grf54(spark, sf_dir):
-    e = road_graph.ordered_edges(_edges(spark, sf_dir))
-    twice = e.groupBy("from_id", "to_id", "way_id", "inverted").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return twice.agg(F.count(F.lit(1)).alias("repeated"))
+    """Invariants of the graph with the number of rows that break them."""
+    links = derived.links(spark, sf_dir)
+    return road_graph.validation(road_graph.ordered_edges(_edges(spark, sf_dir)), derived.nodes(links))
 
 
 def snk01(spark, sf_dir):
@@ -250,13 +254,17 @@ def snk01(spark, sf_dir):
 
 
 def snk13(spark, sf_dir):
-    return agg17(spark, sf_dir).withColumnRenamed("highway", "kind")
+    """Bits and bytes that the edges' columns take."""
+    e = road_graph.ordered_edges(_edges(spark, sf_dir))
+    return road_graph.disk_usage(e, ["from_id", "to_id", "way_id", "distance_cm", "highway", "maxspeed", "off"])
 
 
 def snk14(spark, sf_dir):
-    l = _located(spark, sf_dir).where("way_id % 32 = 0")
-    step = F.struct(F.col("distance_cm").alias("distance"), F.col("maxspeed").alias("speed"))
-    return l.select("a", "b", F.to_json(F.struct(F.lit("Ok").alias("code"), step.alias("step"))).alias("json"))
+    """Route answers as JSON, those without a route included."""
+    weighted, links = _weighted(spark, sf_dir), derived.links(spark, sf_dir)
+    steps = _edges(spark, sf_dir).where(~F.col("inverted")).select("from_id", "to_id", "distance_cm", F.concat(F.lit("way "), F.col("way_id").cast("string")).alias("name"))
+    found = routing.routes(weighted, _requests(spark, sf_dir))
+    return road_graph.route_answers(found, _requests(spark, sf_dir), steps, weighted, derived.nodes(links))
 
 
 E = f"""{LOCATED},
@@ -317,7 +325,6 @@ QUERIES = {
     "grf04_components": grf04,
     "grf05_bridges": grf05,
     "grf06_dead_ends": grf06,
-    "grf17_turn_costs": grf17,
     "grf30_single_source": grf30,
     "grf33_routes": grf33,
     "grf52_traffic": grf52,
@@ -331,10 +338,13 @@ _A17 = f"{LOCATED} SELECT highway AS {{k}}, min(distance_cm) AS least, max(dista
 ORACLE_SQL = {
     "flt01_highway_nodes": f"WITH {derived.LINKS} SELECT a AS id FROM links WHERE highway < 15 UNION SELECT b FROM links WHERE highway < 15",
     "flt02_touched_nodes": f"WITH {derived.LINKS}, {derived.NODES} SELECT * FROM nodes WHERE id IN (SELECT a FROM links WHERE highway < 15 UNION SELECT b FROM links WHERE highway < 15)",
-    "flt03_way_rejection": f"WITH {derived.WAYS} SELECT way_id, count(*) AS n, count(DISTINCT ref) AS uniq FROM ways WHERE way_id % 27 < 23 GROUP BY way_id HAVING count(*) > 1 AND count(DISTINCT ref) > 1",
+    "flt03_way_rejection": f"""WITH {derived.LINKS}, {derived.NODES}, {derived.WAYS},
+      j AS (SELECT way_id, pos, ref, lag(ref) OVER (PARTITION BY way_id ORDER BY pos) AS before, id IS NULL OR id % 97 = 1 AS lacking FROM ways LEFT JOIN nodes ON ref = id),
+      c AS (SELECT way_id, count(*) AS n, count(*) FILTER (before IS NULL OR ref <> before) AS uniq, bool_or(lacking) AS lacking FROM j GROUP BY way_id)
+      SELECT way_id, n, uniq, CASE WHEN n <= 1 THEN 'one node' WHEN way_id % 27 IN (1, 11) THEN 'no road' WHEN lacking THEN 'missing node' WHEN uniq <= 1 THEN 'no length' END AS reason FROM c""",
     "jon01_way_coordinates": f"WITH {derived.LINKS}, {derived.NODES}, {derived.WAYS} SELECT way_id, pos, ref, lat_e6, lon_e6 FROM ways JOIN nodes ON ref = id",
     "jon02_index_lookup": f"WITH {derived.LINKS}, {derived.NODES}, i AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS idx FROM nodes) SELECT a, b, x.idx AS a_idx, y.idx AS b_idx FROM links JOIN i x ON a = x.id JOIN i y ON b = y.id",
-    "jon03_edge_attributes": f"{E} SELECT highway, maxspeed, count(*) AS n, CAST(sum(distance_cm) AS BIGINT) AS cm FROM edges GROUP BY ALL",
+    "jon03_edge_attributes": f"{E} SELECT highway, o_orderpriority, count(*) AS n, CAST(sum(distance_cm) AS BIGINT) AS cm, max(lat_e6) AS north FROM edges JOIN nodes ON to_id = id JOIN orders ON way_id = o_orderkey GROUP BY ALL",
     "jon04_incoming_edges": f"{E} SELECT to_id AS node, count(*) AS incoming FROM edges WHERE NOT inverted GROUP BY to_id",
     "jon05_edge_pairs": f"{E} SELECT e.to_id AS n1, count(*) AS pairs, count(*) FILTER (e.from_id = f.to_id) AS uturns FROM edges e JOIN edges f ON e.to_id = f.from_id WHERE NOT e.inverted AND NOT f.inverted GROUP BY e.to_id",
     "jon08_jon09_nearest_node": f"""WITH {derived.LINKS}, {derived.NODES}, {derived.POINTS},
@@ -343,7 +353,15 @@ ORACLE_SQL = {
         JOIN points p ON p.id = x.id JOIN nodes n ON n.id = x.nid)
       SELECT id, arg_min(node, (distance_cm, node)) AS node, min(distance_cm) AS distance_cm FROM d GROUP BY id""",
     "jon17_anti_nodes": f"WITH {derived.LINKS}, {derived.NODES}, {derived.WAYS} SELECT id FROM nodes WHERE id NOT IN (SELECT ref FROM ways)",
-    "agg03_build_statistics": f"{E} SELECT count(*) AS edges, count(*) FILTER (inverted) AS inverted, count(*) FILTER (restricted) AS restricted, CAST(sum(distance_cm) AS BIGINT) AS cm, max(distance_cm) AS longest, min(distance_cm) AS shortest FROM edges",
+    "agg03_build_statistics": f"""{E}, {derived.WAYS}, d AS (SELECT from_id, count(*) AS n, count(*) FILTER (NOT inverted) AS f FROM edges GROUP BY 1), y AS (SELECT way_id, count(*) AS n FROM ways GROUP BY 1)
+      SELECT counter, CAST(value AS BIGINT) AS value FROM (
+        SELECT 'edges', count(*) FROM edges UNION ALL SELECT 'edges inverted', count(*) FILTER (inverted) FROM edges UNION ALL SELECT 'edges both directions', count(*) FILTER (both_directions) FROM edges
+        UNION ALL SELECT 'edges contra way', count(*) FILTER (contra_way) FROM edges UNION ALL SELECT 'edges restricted', count(*) FILTER (restricted) FROM edges UNION ALL SELECT 'edges self', count(*) FILTER (from_id = to_id) FROM edges
+        UNION ALL SELECT 'edges unique target', count(*) FROM (SELECT DISTINCT from_id, to_id FROM edges WHERE from_id <> to_id) UNION ALL SELECT 'edges important', count(*) FILTER (highway <= 4) FROM edges
+        UNION ALL SELECT 'cm sum', sum(distance_cm) FROM edges UNION ALL SELECT 'cm max', max(distance_cm) FROM edges UNION ALL SELECT 'cm min', min(distance_cm) FROM edges
+        UNION ALL SELECT 'speed max', max(maxspeed) FROM edges UNION ALL SELECT 'speed min', min(maxspeed) FROM edges
+        UNION ALL SELECT 'nodes', count(*) FROM d UNION ALL SELECT 'node edges max', max(n) FROM d UNION ALL SELECT 'node edges min', min(n) FROM d UNION ALL SELECT 'nodes one edge', count(*) FILTER (n = 1) FROM d UNION ALL SELECT 'nodes no way out', count(*) FILTER (f = 0) FROM d
+        UNION ALL SELECT 'ways', count(*) FROM y UNION ALL SELECT 'way nodes', sum(n) FROM y UNION ALL SELECT 'way nodes max', max(n) FROM y UNION ALL SELECT 'way nodes min', min(n) FROM y UNION ALL SELECT 'ways one node', count(*) FILTER (n = 1) FROM y) t(counter, value)""",
     "agg04_degree_histogram": f"{E}, d AS (SELECT from_id AS node, count(DISTINCT to_id) AS u FROM edges GROUP BY from_id) SELECT least(u, 6) AS neighbours, count(*) AS nodes, min(node) AS example FROM d GROUP BY 1",
     "agg05_dictionary": "WITH c AS (SELECT o_orderpriority AS value, count(*) AS n, min(o_orderkey) AS f FROM orders GROUP BY 1) SELECT value, n, CAST(row_number() OVER (ORDER BY n DESC, f) - 1 AS INTEGER) AS place FROM c",
     "agg06_degrees": f"{E} SELECT from_id AS node, count(*) FILTER (NOT inverted) AS forward, count(*) FILTER (inverted) AS inverted, count(DISTINCT to_id) AS uniq FROM edges GROUP BY from_id",
@@ -371,7 +389,7 @@ ORACLE_SQL = {
     "grf01_needed_nodes": f"WITH {derived.WAYS}, {NEED} SELECT id FROM need",
     "grf02_edges": f"{E} SELECT from_id, to_id, way_id, inverted, contra_way, both_directions, distance_cm FROM edges",
     "grf04_components": f"{COMP} SELECT node, component, size FROM sized",
-    "grf30_single_source": f"""{WEIGHTED.replace('WITH ', 'WITH RECURSIVE ', 1)}, src AS (SELECT id AS source FROM nodes ORDER BY id LIMIT 5),
+    "grf30_single_source": f"""{WEIGHTED.replace('WITH ', 'WITH RECURSIVE ', 1)}, src AS ({{SOURCES}}),
       best(source, node, metric) USING KEY (source, node) AS (
         SELECT source, source, CAST(0 AS BIGINT) FROM src
         UNION
@@ -379,18 +397,19 @@ ORACLE_SQL = {
         LEFT JOIN recurring.best o ON o.source = b.source AND o.node = w.to_id
         WHERE o.metric IS NULL OR b.metric + w.weight < o.metric GROUP BY b.source, w.to_id)
       SELECT source, node, metric FROM best""",
-    "grf54_validation": "SELECT CAST(0 AS BIGINT) AS repeated",
+    "grf05_bridges": f"WITH RECURSIVE {derived.STREETS} SELECT a, b FROM bridges",
+    "grf06_dead_ends": f"WITH RECURSIVE {derived.STREETS} SELECT node, label <> (SELECT label FROM core) AS dead_end FROM part",
+    "grf54_validation": "SELECT unnest(['edges in order', 'no edge twice', 'inverted edges have a driven twin', 'two-way edges come back', 'targets are nodes', 'nodes in order']) AS invariant, CAST(0 AS BIGINT) AS broken",
     "snk01_graph_csv": f"{LOCATED} SELECT 'line,' || CASE WHEN restricted THEN 'red' WHEN oneway THEN 'blue' ELSE 'black' END || ',' || a_lat || ',' || a_lon || ',' || b_lat || ',' || b_lon AS line FROM located",
-    "snk13_statistics": _A17.format(k="kind"),
-    "snk14_route_json": f"""{LOCATED} SELECT a, b, '{{"code":"Ok","step":{{"distance":' || distance_cm || ',"speed":' || maxspeed || '}}}}' AS json FROM located WHERE way_id % 32 = 0""",
+    "snk13_statistics": f"""{E}, o AS (SELECT *, row_number() OVER (PARTITION BY from_id ORDER BY inverted, to_id, way_id) - 1 AS off FROM edges),
+      l AS (SELECT unnest(['from_id', 'to_id', 'way_id', 'distance_cm', 'highway', 'maxspeed', 'off']) AS col, unnest([from_id, to_id, way_id, distance_cm, highway, maxspeed, off]) AS v FROM o),
+      m AS (SELECT col, count(*) AS n, min(v) AS least, max(v) AS most, CAST(sum(v) AS BIGINT) AS total FROM l GROUP BY col)
+      SELECT col, n, least, most, CAST(total // n AS BIGINT) AS mean, CAST(greatest(1, length(ltrim(CAST(CAST(most AS BIT) AS VARCHAR), '0'))) AS INTEGER) AS bits,
+        CAST((n * greatest(1, length(ltrim(CAST(CAST(most AS BIT) AS VARCHAR), '0'))) + 7) // 8 AS BIGINT) AS bytes FROM m""",
 }
-ORACLE_SQL["grf33_routes"] = ORACLE_SQL["grf30_single_source"].replace("LIMIT 5", "LIMIT 1").replace(
-    "SELECT source, node, metric FROM best", "SELECT t.id AS req_id, metric FROM (SELECT id FROM nodes ORDER BY id DESC LIMIT 20) t LEFT JOIN best ON best.node = t.id"
-)
-ORACLE_SQL["grf17_turn_costs"] = f"""{E},
-g AS (SELECT from_id, to_id, distance_cm, CASE WHEN from_id = a THEN a_lat ELSE b_lat END AS p_lat, CASE WHEN from_id = a THEN a_lon ELSE b_lon END AS p_lon,
-        CASE WHEN from_id = a THEN b_lat ELSE a_lat END AS q_lat, CASE WHEN from_id = a THEN b_lon ELSE a_lon END AS q_lon FROM edges WHERE NOT inverted),
-x AS (SELECT from_id, to_id, {_steep('p', 'q')} AS east FROM g),
-t AS (SELECT e.from_id AS n0, e.to_id AS n1, f.to_id AS n2, CAST({_TURN.format(d='(f.east - e.east)')} AS INTEGER) AS angle FROM x e JOIN x f ON e.to_id = f.from_id),
-c AS (SELECT *, CAST(CASE WHEN n0 = n2 OR abs(angle) > 179 THEN 20000 WHEN abs(angle) <= 20 THEN 0 WHEN abs(angle) <= 60 THEN 500 WHEN abs(angle) <= 120 THEN 2000 ELSE 4000 END AS INTEGER) AS cost_ms FROM t)
-SELECT n0, n1, n2, angle, cost_ms, CAST(CASE cost_ms WHEN 0 THEN 0 WHEN 500 THEN 5 WHEN 2000 THEN 17 WHEN 4000 THEN 22 ELSE 33 END AS INTEGER) AS code FROM c"""
+_SEARCH = ORACLE_SQL["grf30_single_source"]
+_MATCHED = ORACLE_SQL["jon08_jon09_nearest_node"].split("d AS (", 1)[1].rsplit("SELECT id, arg_min", 1)[0]
+ORACLE_SQL["grf30_single_source"] = _SEARCH.replace("src AS ({SOURCES})", f"""{derived.POINTS}, d AS ({_MATCHED},
+      src AS (SELECT DISTINCT node AS source FROM (SELECT id, arg_min(node, (distance_cm, node)) AS node, min(distance_cm) AS cm FROM d GROUP BY id) WHERE cm < 10000)""")
+ORACLE_SQL["grf33_routes"] = _SEARCH.replace("src AS ({SOURCES})", """req AS (SELECT CAST(n_nationkey AS BIGINT) AS req_id, CAST((n_nationkey * 7 + 1) * 2 AS BIGINT) AS source, CAST((n_nationkey * 11 + 3) * 2 + 1 AS BIGINT) AS target FROM nation),
+      src AS (SELECT DISTINCT source FROM req)""").replace("SELECT source, node, metric FROM best", "SELECT req_id, metric FROM req LEFT JOIN best ON best.source = req.source AND node = target")

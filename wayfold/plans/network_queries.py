@@ -31,9 +31,8 @@ def agg15(spark, sf_dir):
 
 
 def jon10(spark, sf_dir):
-    found = geo.nearest_links(derived.events_tags(spark, sf_dir), _located(spark, sf_dir), 200_000)
-    near = found.where(F.col("d") < 700_000).select("id", "a", "b", F.round(F.col("d") / 1000, 1).alias("d"))
-    return near
+    found = geo.nearest_links(derived.events_tags(spark, sf_dir), _located(spark, sf_dir))
+    return found.select("id", F.round(F.col("d") / 1000, 1).alias("d"))
 
 
 _CLIP = (1_000.0, 900.0, 3_000.0, 2_500.0)
@@ -41,7 +40,7 @@ _CLIP = (1_000.0, 900.0, 3_000.0, 2_500.0)
 
 def _pixels(spark, sf_dir) -> DataFrame:
     k = F.col("l_partkey")
-    return derived.table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_orderkey", *[((k * m + F.col("l_orderkey") * c) % 4000).cast("double").alias(n) for n, m, c in (("x0", 37, 11), ("y0", 53, 7), ("x1", 71, 5), ("y1", 97, 3))])
+    return derived.table(spark, sf_dir, "lineitem").select("l_orderkey", *[((k * m + F.col("l_orderkey") * c) % 4000).cast("double").alias(n) for n, m, c in (("x0", 37, 11), ("y0", 53, 7), ("x1", 71, 5), ("y1", 97, 3))])
 
 
 def prj22(spark, sf_dir):
@@ -50,9 +49,12 @@ def prj22(spark, sf_dir):
 
 
 def prj29(spark, sf_dir):
+    """Polylines of links in 1e-5 degrees, and the coordinates that decoding gives back."""
     l = _located(spark, sf_dir)
-    at = lambda p: F.struct(F.col(f"{p}_lat").alias("lat"), F.col(f"{p}_lon").alias("lon"))
-    return l.select("a", "b", geo.encode_polyline(F.array(at("a"), at("b"))).alias("line"))
+    at = lambda p: F.struct(F.floor(F.col(f"{p}_lat") / 10).alias("lat"), F.floor(F.col(f"{p}_lon") / 10).alias("lon"))
+    line = geo.encode_polyline(F.array(at("a"), at("b")))
+    back = l.select("a", "b", "way_id", line.alias("line")).withColumn("back", geo.decode_polyline(F.col("line")))
+    return back.select("a", "b", "line", *[F.get("back", n)[c].alias(f"{c}_{n}") for n in (0, 1) for c in ("lat", "lon")])
 
 
 def _relations(spark, sf_dir) -> DataFrame:
@@ -69,7 +71,7 @@ def grf13(spark, sf_dir):
 
 
 def grf16(spark, sf_dir):
-    rules = restrictions.parse(_relations(spark, sf_dir)).where("from_way % 3 = 0")
+    rules = restrictions.parse(_relations(spark, sf_dir))
     o = derived.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("from_way"), (F.col("o_custkey") * 2).alias("node"), F.col("o_orderkey").alias("to_way"))
     other = o.select("from_way", "node", (F.col("to_way") + 7).alias("to_way"))
     turns = o.unionAll(other).distinct().withColumn("u_turn", F.col("to_way") % 4 == 0)
@@ -82,8 +84,9 @@ def flt05(spark, sf_dir):
 
 
 def flt12(spark, sf_dir):
-    links = derived.links(spark, sf_dir)
-    alive = routing.dead_ends(links, routing.bridges(links)).where("NOT dead_end")
+    """Nodes that clusters are made of: of large components, without dead ends."""
+    links = derived.streets(spark, sf_dir)
+    alive = routing.dead_ends(links, routing.checkpointed(routing.bridges(links))).where("NOT dead_end")
     large = routing.large_components(routing.components(links), 1_000_000)
     return large.join(alive, "node", "left_semi").select("node")
 
@@ -136,9 +139,11 @@ def grf53(spark, sf_dir):
 
 
 def win06(spark, sf_dir):
-    order = Window.partitionBy("way_id").orderBy("pos")
-    w = derived.ways(spark, sf_dir).select("way_id", "pos", (F.col("ref") % 5).alias("ncc"))
-    return w.withColumn("after", F.lead("ncc").over(order)).where("after <> ncc")
+    """Places where a way goes from one country to the next, and whether its way has one country only."""
+    w = derived.ways(spark, sf_dir)
+    ids = w.select(F.col("ref").alias("id")).distinct()
+    at = geo.countries(ids.select("id", derived.latitude(F.col("id")).alias("lat_e6"), derived.longitude(F.col("id")).alias("lon_e6")), _borders(spark, sf_dir))
+    return road_graph.country_changes(w.join(at.select(F.col("id").alias("ref"), "ncc"), "ref"))
 
 
 def win09(spark, sf_dir):
@@ -243,7 +248,7 @@ borders AS (SELECT w AS x0, s AS y0, w + 800000 AS x1, s AS y1, ncc FROM nb UNIO
 _CL = "cl AS (SELECT id AS node, id % 12 AS cluster FROM nodes)"
 _SEG = _segment("a_lat", "a_lon", "b_lat", "b_lon")[0].replace("7000000", "p.lon_e6").replace("46000000", "p.lat_e6")
 _X0, _Y0, _X1, _Y1 = _CLIP
-_RAW = "SELECT l_orderkey, " + ", ".join(f"CAST((l_partkey * {m} + l_orderkey * {c}) % 4000 AS DOUBLE) AS {n}" for n, m, c in (("x0", 37, 11), ("y0", 53, 7), ("x1", 71, 5), ("y1", 97, 3))) + " FROM lineitem WHERE l_linenumber = 1"
+_RAW = "SELECT l_orderkey, " + ", ".join(f"CAST((l_partkey * {m} + l_orderkey * {c}) % 4000 AS DOUBLE) AS {n}" for n, m, c in (("x0", 37, 11), ("y0", 53, 7), ("x1", 71, 5), ("y1", 97, 3))) + " FROM lineitem"
 _REL = """rel AS (SELECT o_orderkey AS relation_id, o_orderkey % 5 <> 1 AS forbidden,
    CASE o_orderkey % 5 WHEN 0 THEN 'left_turn' WHEN 1 THEN 'right_turn' WHEN 2 THEN 'exit' WHEN 3 THEN 'entry' END AS direction,
    unnest(CASE WHEN o_orderkey % 5 = 3 THEN [o_custkey, o_custkey + 1] ELSE [o_custkey] END) AS from_way, o_custkey * 2 AS via, o_orderkey FROM orders WHERE o_orderkey % 5 < 4),
@@ -251,8 +256,7 @@ rules AS (SELECT relation_id, forbidden, direction, from_way, unnest(CASE WHEN o
 
 ORACLE_SQL = {
     "jon06_point_in_country": f"""WITH {derived.POINTS}, {_NB} SELECT id, coalesce((SELECT max(ncc) FROM nb WHERE s < lat_e6 AND lat_e6 <= s + 600000 AND w <= lon_e6 AND lon_e6 < w + 800000), 0) AS ncc FROM points""",
-    "jon10_nearest_link": f"""{LOCATED}, {derived.POINTS}, d AS (SELECT p.id, a, b, {_SEG} AS d, row_number() OVER (PARTITION BY p.id ORDER BY {_SEG}, a, b) AS r FROM points p, located)
-      SELECT id, a, b, round(d / 1000, 1) AS d FROM d WHERE r = 1 AND d < 700000""",
+    "jon10_nearest_link": f"""{LOCATED}, {derived.POINTS} SELECT p.id, round(min({_SEG}) / 1000, 1) AS d FROM points p, located GROUP BY p.id""",
     "agg10_cluster_header": f"""{E}, {_CL}, j AS (SELECT x.cluster, y.cluster AS other, from_id FROM edges JOIN cl x ON from_id = x.node JOIN cl y ON to_id = y.node WHERE NOT inverted),
       b AS (SELECT cluster, count(DISTINCT from_id) FILTER (cluster <> other) AS border_nodes, count(*) FILTER (cluster = other) AS inner_edges, count(*) FILTER (cluster <> other) AS outer_edges FROM j GROUP BY cluster)
       SELECT cl.cluster, count(*) AS nodes, any_value(coalesce(border_nodes, 0)) AS border_nodes, any_value(coalesce(inner_edges, 0)) AS inner_edges, any_value(coalesce(outer_edges, 0)) AS outer_edges FROM cl LEFT JOIN b ON b.cluster = cl.cluster GROUP BY cl.cluster""",
@@ -269,7 +273,7 @@ ORACLE_SQL = {
       t AS (SELECT DISTINCT component AS region FROM comp WHERE node IN (SELECT a FROM links WHERE restricted UNION SELECT b FROM links WHERE restricted))
       SELECT e.region, n, CASE WHEN t.region IS NULL THEN 'free' WHEN n < 50 AND only_ THEN 'secondary' WHEN n > 1000 THEN 'free' ELSE 'secondary' END AS label FROM e LEFT JOIN t ON e.region = t.region""",
     "grf13_restrictions": f"WITH {_REL} SELECT relation_id, forbidden, direction, from_way, to_way, via, via_is_node FROM rules",
-    "grf16_turn_status": f"""WITH {_REL}, r AS (SELECT * FROM rules WHERE from_way % 3 = 0),
+    "grf16_turn_status": f"""WITH {_REL}, r AS (SELECT * FROM rules),
       turns AS (SELECT o_custkey AS from_way, o_custkey * 2 AS node, o_orderkey AS to_way FROM orders UNION SELECT o_custkey, o_custkey * 2, o_orderkey + 7 FROM orders)
       SELECT t.from_way, node, t.to_way, t.to_way % 4 = 0 AS u_turn,
         CASE WHEN bool_or(r.to_way = t.to_way) THEN NOT bool_or(r.forbidden) FILTER (r.to_way = t.to_way) WHEN t.to_way % 4 = 0 THEN true ELSE NOT coalesce(bool_or(r.to_way <> t.to_way AND NOT r.forbidden), false) END AS allowed
@@ -279,7 +283,13 @@ ORACLE_SQL = {
     "flt05_edge_filter": f"{E} SELECT highway, count(*) AS kept FROM edges WHERE NOT inverted AND NOT restricted AND highway < 20 GROUP BY highway",
     "flt09_config_rules": """WITH w AS (SELECT DISTINCT upper(substr(n_name, 1, 2)) AS country FROM nation), k AS (SELECT country, unnest(['trunk', 'trunk_link', 'path']) AS key FROM w)
       SELECT country, key, CAST(CASE WHEN key LIKE 'trunk%' AND country IN (SELECT upper(substr(n_name, 1, 2)) FROM nation WHERE n_nationkey % 2 = 0) THEN 80 ELSE 10 END AS INTEGER) AS speed_max FROM k""",
-    "win06_country_change": f"WITH {derived.WAYS}, x AS (SELECT way_id, pos, ref % 5 AS ncc, lead(ref % 5) OVER (PARTITION BY way_id ORDER BY pos) AS after FROM ways) SELECT * FROM x WHERE after <> ncc",
+    "win06_country_change": f"""WITH {derived.WAYS}, {_NB}, x AS (SELECT way_id, pos, coalesce((SELECT max(ncc) FROM nb WHERE s < 45000000 + (ref * 7919) % 3000000 AND 45000000 + (ref * 7919) % 3000000 <= s + 600000 AND w <= 6000000 + (ref * 104729) % 4000000 AND 6000000 + (ref * 104729) % 4000000 < w + 800000), 0) AS ncc FROM ways),
+      y AS (SELECT way_id, pos, ncc, lead(ncc) OVER (PARTITION BY way_id ORDER BY pos) AS after FROM x) SELECT way_id, pos, ncc, after FROM y WHERE after <> ncc""",
+    "prj29_polyline": f"""{LOCATED}, p AS (SELECT a, b, [a_lat // 10, a_lon // 10, b_lat // 10 - a_lat // 10, b_lon // 10 - a_lon // 10] AS d, a_lat // 10 AS lat_0, a_lon // 10 AS lon_0, b_lat // 10 AS lat_1, b_lon // 10 AS lon_1 FROM located),
+      z AS (SELECT *, list_transform(d, lambda v: CAST(CASE WHEN v < 0 THEN -2 * v - 1 ELSE 2 * v END AS BIGINT)) AS q FROM p)
+      SELECT a, b, CAST(lat_0 AS BIGINT) AS lat_0, CAST(lon_0 AS BIGINT) AS lon_0, CAST(lat_1 AS BIGINT) AS lat_1, CAST(lon_1 AS BIGINT) AS lon_1,
+        list_aggregate(list_transform(q, lambda v: list_aggregate(list_transform(list_filter(range(0, 8), lambda n: n = 0 OR v >> CAST(5 * n AS INTEGER) > 0), lambda n: chr(CAST((v >> CAST(5 * n AS INTEGER)) % 32 + CASE WHEN v >> CAST(5 * n + 5 AS INTEGER) > 0 THEN 32 ELSE 0 END + 63 AS INTEGER))), 'string_agg', '')), 'string_agg', '') AS line FROM z""",
+    "flt12_eligible_nodes": f"WITH RECURSIVE {derived.STREETS} SELECT node FROM part WHERE label = (SELECT label FROM core)",
     "win10_step_metric": f"{WP} SELECT way_id, pos, CAST(before_cm - lag(before_cm, 1, 0) OVER (PARTITION BY way_id ORDER BY pos) AS BIGINT) AS step FROM wp",
     "win09_border_positions": f"{E}, {_CL} SELECT x.cluster, from_id, to_id, CAST(row_number() OVER (PARTITION BY x.cluster ORDER BY from_id, to_id) - 1 AS INTEGER) AS place FROM edges JOIN cl x ON from_id = x.node JOIN cl y ON to_id = y.node WHERE NOT inverted AND x.cluster <> y.cluster",
     "set02_poi_union": f"WITH {derived.WAYS}, {derived.POINTS} SELECT 'n' AS kind, id, lat_e6, lon_e6 FROM points UNION ALL SELECT 'w', way_id, CAST(45000000 + (ref * 7919) % 3000000 AS INTEGER), CAST(6000000 + (ref * 104729) % 4000000 AS INTEGER) FROM ways WHERE pos = 1",

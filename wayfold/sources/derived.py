@@ -18,8 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """a, b, way_id, maxspeed, oneway, restricted, highway: distinct customer-part pairs."""
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 4 = 0").select("o_orderkey", "o_custkey")
-    lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_partkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     a, b = F.col("a"), F.col("b")
     return (
         lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"])
@@ -41,8 +41,31 @@ LINKS = """links AS (
   SELECT a, b, way_id, 20 + 10 * ((a + b) % 11) AS maxspeed, (a + b) % 7 = 0 AS oneway,
          (a * 3 + b) % 13 = 0 AS restricted, (a + b) % 27 AS highway
   FROM (SELECT o_custkey * 2 AS a, l_partkey * 2 + 1 AS b, min(o_orderkey) AS way_id
-        FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-        WHERE l_linenumber = 1 AND o_orderkey % 4 = 0 GROUP BY ALL))"""
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL))"""
+
+
+def streets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """a, b: a sparse graph, in which links may be bridges: customers halved, and neighbours of one nation."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("b"), "c_nationkey")
+    halved = c.where("b > 0").select(F.floor(F.col("b") / 2).alias("a"), "b")
+    near = c.select(F.col("b").alias("a"), "c_nationkey").join(c.select("b", (F.col("b") - 1).alias("a"), "c_nationkey"), ["a", "c_nationkey"]).select("a", "b")
+    return halved.unionAll(near)
+
+
+#: ``anc``: of each neighbours' link, the customers on the halved ways from both ends; one that is on one way only is covered by it.
+STREETS = """halved AS (SELECT c_custkey // 2 AS a, c_custkey AS b FROM customer WHERE c_custkey > 0),
+near AS (SELECT x.c_custkey AS a, y.c_custkey AS b FROM customer x JOIN customer y ON y.c_custkey = x.c_custkey + 1 AND x.c_nationkey = y.c_nationkey),
+streets AS (SELECT a, b FROM halved UNION ALL SELECT a, b FROM near),
+anc AS (SELECT a AS link, a AS x, 0 AS side FROM near UNION ALL SELECT a, b, 1 FROM near UNION ALL SELECT link, x // 2, side FROM anc WHERE x > 0),
+covered AS (SELECT DISTINCT x FROM (SELECT link, x FROM anc GROUP BY link, x HAVING count(*) = 1)),
+bridges AS (SELECT a, b FROM halved WHERE b NOT IN (SELECT x FROM covered) AND NOT EXISTS (SELECT 1 FROM near n WHERE n.a = halved.a AND n.b = halved.b)),
+whole AS (SELECT a, b FROM streets EXCEPT SELECT a, b FROM bridges),
+sym AS (SELECT a, b FROM whole UNION SELECT b, a FROM whole),
+part(node, label) USING KEY (node) AS (
+  SELECT c_custkey AS node, c_custkey AS label FROM customer
+  UNION
+  SELECT s.b, min(p.label) FROM part p JOIN sym s ON s.a = p.node JOIN recurring.part o ON o.node = s.b WHERE p.label < o.label GROUP BY s.b),
+core AS (SELECT label FROM part GROUP BY label ORDER BY count(*) DESC, label LIMIT 1)"""
 
 
 def latitude(node: Column) -> Column:
@@ -96,6 +119,28 @@ TAG_RULES = (
 )
 
 
+#: More tags of a way, for what bicycles, surfaces, zones and points of interest need.
+MORE_TAG_RULES = (
+    ("surface", "CASE o_orderkey % 10 WHEN 0 THEN 'asphalt' WHEN 1 THEN 'gravel' WHEN 2 THEN 'moon dust' WHEN 3 THEN 'sett' END"),
+    ("surface:forward", "CASE WHEN o_orderkey % 14 = 0 THEN 'dirt' END"),
+    ("surface:lanes", "CASE WHEN o_orderkey % 15 = 0 THEN 'mud|asphalt|sand' END"),
+    ("smoothness", "CASE o_orderkey % 6 WHEN 0 THEN 'good' WHEN 1 THEN 'very_bad' END"),
+    ("smoothness:backward", "CASE WHEN o_orderkey % 22 = 0 THEN 'horrible' END"),
+    ("tracktype", "CASE o_orderkey % 8 WHEN 0 THEN 'grade2' WHEN 1 THEN 'grade9' END"),
+    ("bicycle", "CASE o_orderkey % 7 WHEN 0 THEN 'no' WHEN 1 THEN 'use_sidepath' WHEN 2 THEN 'designated' END"),
+    ("vehicle:forward", "CASE WHEN o_orderkey % 12 = 0 THEN 'private' END"),
+    ("oneway:bicycle", "CASE WHEN o_orderkey % 8 = 0 THEN 'no' END"),
+    ("cycleway:left", "CASE WHEN o_orderkey % 9 = 0 THEN 'opposite_lane' END"),
+    ("maxspeed:source", "CASE o_orderkey % 18 WHEN 0 THEN 'FR:rural' WHEN 1 THEN 'DE:urban' WHEN 2 THEN 'sign' WHEN 3 THEN '??:urban' END"),
+    ("zone:traffic:forward", "CASE WHEN o_orderkey % 20 = 0 THEN 'IT:urban' END"),
+    ("motorroad:forward", "CASE o_orderkey % 16 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' END"),
+    ("motorroad", "CASE WHEN o_orderkey % 32 = 1 THEN 'yes' END"),
+    ("amenity", "CASE o_orderkey % 40 WHEN 0 THEN 'parking' WHEN 1 THEN 'bench' END"),
+    ("tourism", "CASE WHEN o_orderkey % 60 = 0 THEN 'hotel' END"),
+    ("railway", "CASE o_orderkey % 70 WHEN 0 THEN 'stop' WHEN 1 THEN 'rail' END"),
+)
+
+
 def _rule(text: str, spark: bool) -> str:
     names = ", ".join(f"'{h}'" for h in dims.HIGHWAYS)
     own = f"element_at(array({names}), cast(o_orderkey % 27 + 1 AS INT))" if spark else f"list_extract([{names}], o_orderkey % 27 + 1)"
@@ -108,6 +153,12 @@ def tagged_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").selectExpr("o_orderkey AS way_id", f"filter(array({', '.join(pairs)}), t -> t.v IS NOT NULL) AS tags")
 
 
+def richly_tagged_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """way_id, tags of ``TAG_RULES`` and ``MORE_TAG_RULES``."""
+    pairs = [f"struct('{k}' AS k, {_rule(v, True)} AS v)" for k, v in (*TAG_RULES, *MORE_TAG_RULES)]
+    return table(spark, sf_dir, "orders").selectExpr("o_orderkey AS way_id", f"filter(array({', '.join(pairs)}), t -> t.v IS NOT NULL) AS tags")
+
+
 TAGS = "tags AS (SELECT * FROM (" + " UNION ALL ".join(f"SELECT o_orderkey AS way_id, {at} AS pos, '{k}' AS k, {_rule(v, False)} AS v FROM orders" for at, (k, v) in enumerate(TAG_RULES)) + ") WHERE v IS NOT NULL)"
 
 
@@ -119,3 +170,32 @@ def events_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 POINTS = """points AS (SELECT event_id AS id, CAST(45000000 + (event_id * 6151) % 3000000 AS INTEGER) AS lat_e6,
   CAST(6000000 + (event_id * 99991) % 4000000 AS INTEGER) AS lon_e6 FROM events)"""
+
+#: (key, value) of the tags of a node, as SQL over id; both engines read them.
+NODE_TAG_RULES = (
+    ("highway", "CASE id % 11 WHEN 0 THEN 'crossing' WHEN 1 THEN 'stop' WHEN 2 THEN 'give_way' WHEN 3 THEN 'traffic_signals' WHEN 4 THEN 'turning_circle' END"),
+    ("crossing", "CASE id % 5 WHEN 0 THEN 'traffic_signals' WHEN 1 THEN 'uncontrolled' WHEN 2 THEN 'zebra' END"),
+    ("crossing:signals", "CASE id % 13 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' END"),
+    ("crossing:markings", "CASE id % 17 WHEN 0 THEN 'no' WHEN 1 THEN 'zebra' END"),
+    ("stop", "CASE WHEN id % 3 = 0 THEN 'all' END"),
+    ("direction", "CASE id % 19 WHEN 0 THEN 'forward' WHEN 1 THEN 'backward' WHEN 2 THEN 'both' END"),
+    ("traffic_signals:direction", "CASE id % 23 WHEN 0 THEN 'forward' WHEN 1 THEN 'backward' END"),
+    ("railway", "CASE id % 14 WHEN 0 THEN 'level_crossing' WHEN 1 THEN 'tram_crossing' WHEN 2 THEN 'stop' END"),
+    ("crossing:barrier", "CASE id % 4 WHEN 0 THEN 'full' WHEN 1 THEN 'no' WHEN 2 THEN 'gates' END"),
+    ("barrier", "CASE id % 16 WHEN 0 THEN 'bollard' WHEN 1 THEN 'gate' WHEN 2 THEN 'toll_booth' WHEN 3 THEN 'blub' WHEN 4 THEN 'lift_gate' END"),
+    ("motor_vehicle", "CASE id % 9 WHEN 0 THEN 'no' WHEN 1 THEN 'destination' WHEN 2 THEN 'yes' END"),
+    ("traffic_calming", "CASE id % 21 WHEN 0 THEN 'bump' WHEN 1 THEN 'no' END"),
+    ("public_transport", "CASE WHEN id % 25 = 0 THEN 'platform' END"),
+    ("amenity", "CASE id % 8 WHEN 0 THEN 'cafe' WHEN 1 THEN 'bench' WHEN 2 THEN 'clock' END"),
+    ("shop", "CASE WHEN id % 29 = 0 THEN 'bakery' END"),
+    ("tourism", "CASE WHEN id % 31 = 0 THEN 'museum' END"),
+)
+
+
+def tagged_nodes(frame: DataFrame) -> DataFrame:
+    """id, lat_e6, lon_e6, tags of the nodes of links."""
+    pairs = [f"struct('{k}' AS k, {v} AS v)" for k, v in NODE_TAG_RULES]
+    return nodes(frame).selectExpr("id", "lat_e6", "lon_e6", f"filter(array({', '.join(pairs)}), t -> t.v IS NOT NULL) AS tags")
+
+
+NODE_TAGS = "node_tags AS (SELECT id, lat_e6, lon_e6, " + ", ".join(f'{v} AS "{k}"' for k, v in NODE_TAG_RULES) + " FROM nodes)"
