@@ -165,6 +165,48 @@ def parse_speed(value: Column) -> Column:
     return let(F.when(value.rlike(r"^[0-9]{1,5}( |$)"), F.split(value, " ")), units)
 
 
+def curve_speed(arc_cm: Column, degrees: Column) -> Column:
+    """The most km/h that a curve of a length and a turn allows, at half of gravity sideways."""
+    return F.sqrt(F.lit(3.6 * 3.6 * 0.5 * 9.81 * 0.01) * arc_cm / (degrees * F.lit(math.pi) / 180.0))
+
+
+#: Metres per second squared, (faster, slower), of kinds of vehicles.
+PACES = {"motorcar": (3.0, 2.0), "hgv": (2.0, 1.5), "bicycle": (1.5, 1.5)}
+
+
+def speed_change_cm(kmh_1: Column, kmh_2: Column, vehicle: str = "motorcar") -> Column:
+    """Whole centimetres that a change of speed takes."""
+    faster, slower = PACES[vehicle]
+    a, b = kmh_1 / 3.6, kmh_2 / 3.6
+    return F.abs(F.round(100.0 * (a * a - b * b) / (2.0 * F.when(a >= b, F.lit(slower)).otherwise(F.lit(faster))))).cast("long")
+
+
+def round_1(value: Column) -> Column:
+    """One decimal place, halves away from zero."""
+    return F.signum(value) * F.floor(F.abs(value) * 10.0 + 0.5) / 10.0
+
+
+def edge_name(street: Column, way: Column, a: Column, b: Column) -> Column:
+    return F.format_string("<%s> (w:%d %d->%d)", street, way, a, b)
+
+
+def varint_hex(value: Column) -> Column:
+    """Hexadecimal digits of a whole number's bytes with seven bits each, the lowest first; all but the last have the top bit."""
+    places = F.filter(F.sequence(F.lit(0), F.lit(9)), lambda n: (n == 0) | (shifted(value, n) > 0))
+    return F.array_join(F.transform(places, lambda n: F.lpad(F.hex(shifted(value, n).bitwiseAND(F.lit(127)) + F.when(shifted(value, n + 1) > 0, 128).otherwise(0)), 2, "0")), "")
+
+
+def shifted(value: Column, sevens: Column) -> Column:
+    """A number without its lowest groups of seven bits; 0 where none is left."""
+    return F.when(sevens > 8, F.lit(0).cast("long")).otherwise(F.floor(value / F.pow(F.lit(128.0), sevens)).cast("long"))
+
+
+def without_prefix(text: Column, prefix: str) -> Column:
+    """(whether a text began with a prefix, the rest)."""
+    has = text.startswith(prefix)
+    return F.struct(has.alias("had"), F.when(has, F.substring(text, len(prefix) + 1, 1 << 30)).otherwise(text).alias("rest"))
+
+
 def routable(access: Column) -> Column:
     """Access ordinals that a route may use: customers and better."""
     return access >= 2
