@@ -42,6 +42,29 @@ def cluster_lines(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return met.select(line_text(color, F.col("a_lat_e6"), F.col("a_lon_e6"), F.col("b_lat_e6"), F.col("b_lon_e6")).alias("line"))
 
 
+# Colors of traffic, from the least to the most.
+TRAFFIC_COLORS = ("red25", "red50", "red75", "red")
+#: The unit of the colors is the largest traffic over this.
+TRAFFIC_PARTS = 10_000
+
+
+def traffic_lines(traffic: DataFrame, nodes: DataFrame) -> DataFrame:
+    """from_id, to_id, line (its color by powers of ten of the unit), record (way, ends, visits, dead end) of driven edges.
+
+    ``traffic``: from_id, to_id, way_id, visits; ``nodes``: id, lat_e6, lon_e6, dead_end.
+    """
+    most = traffic.agg(F.max("visits").alias("most"))
+    end = lambda n: nodes.select(F.col("id").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in ("lat_e6", "lon_e6", "dead_end")])
+    met = traffic.where("visits > 0").join(end("from_id"), "from_id").join(end("to_id"), "to_id").join(F.broadcast(most))
+    unit = F.greatest(F.lit(1), F.ceil(F.col("most") / TRAFFIC_PARTS))
+    share = F.floor(F.col("visits") / unit)
+    color = F.when(share < 1, TRAFFIC_COLORS[0]).when(share < 10, TRAFFIC_COLORS[1]).when(share < 100, TRAFFIC_COLORS[2]).otherwise(TRAFFIC_COLORS[3])
+    ends = [F.col(f"{n}_{c}") for n in ("from_id", "to_id") for c in ("lat_e6", "lon_e6")]
+    dead = (F.col("from_id_dead_end") | F.col("to_id_dead_end")).cast("int")
+    record = F.format_string("%d,%.6f,%.6f,%.6f,%.6f,%d,%d", "way_id", *[c / F.lit(1e6) for c in ends], "visits", dead)
+    return met.select("from_id", "to_id", line_text(color, *ends).alias("line"), record.alias("record"))
+
+
 def seen_in_tiles(rects: DataFrame, tiles: DataFrame, step: int) -> DataFrame:
     """cluster, tile of the rectangles that touch a tile's view.
 

@@ -119,12 +119,13 @@ def _network(spark, sf_dir) -> tuple[edge_routing.EdgeNetwork, DataFrame]:
     back = edges.select(F.col("edge_id").alias("edge_0"), F.col("from_id").alias("x"), F.col("to_id").alias("y")).join(edges.select(F.col("edge_id").alias("edge_1"), F.col("from_id").alias("y"), F.col("to_id").alias("x")), ["x", "y"])
     many = edges.groupBy(F.col("from_id").alias("y")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     closed = back.join(many, "y").select("edge_0", "edge_1", F.lit(None).cast("long").alias("cost_ms"))
-    return edge_routing.edge_network(edges, closed), edges
+    return edge_routing.edge_network(edges, closed, nodes=derived.nodes(derived.links(spark, sf_dir))), edges
 
 
 def grf34(spark, sf_dir):
+    """Routes with restricted areas, guided by the great circle."""
     network, _ = _network(spark, sf_dir)
-    return edge_routing.edge_routes(network, _requests(spark, sf_dir)).select("req_id", "metric")
+    return edge_routing.edge_routes(network, _requests(spark, sf_dir), guided=True).select("req_id", "metric")
 
 
 def grf31(spark, sf_dir):
@@ -145,9 +146,9 @@ QUERIES = {
     "prj17_prj18_barriers": prj17,
     "flt07_jon16_points_of_interest": flt07,
     "flt04_repeated_segments": flt04,
-    "grf17_turn_costs": grf17,
+    "grf17_grf19_grf20_grf21_flt10_flt11_turn_costs": grf17,
     "grf31_grf32_edge_distances": grf31,
-    "grf34_edge_routes": grf34,
+    "grf34_grf35_grf37_edge_routes": grf34,
 }
 
 _K = "o_orderkey"
@@ -218,7 +219,7 @@ ORACLE_SQL = {
       SELECT * FROM pn WHERE name IS NOT NULL
       UNION ALL SELECT 'w', way_id, name, type, CAST(sum(lat_e6) AS BIGINT) // count(*), CAST(sum(lon_e6) AS BIGINT) // count(*), count(*) FROM pw JOIN ways USING (way_id) JOIN nodes ON ref = id WHERE name IS NOT NULL GROUP BY way_id, name, type""",
 }
-ORACLE_SQL["grf17_turn_costs"] = f"""{E}, {derived.NODE_TAGS}, {_RECORDS},
+ORACLE_SQL["grf17_grf19_grf20_grf21_flt10_flt11_turn_costs"] = f"""{E}, {derived.NODE_TAGS}, {_RECORDS},
 kept AS (SELECT * FROM rec WHERE crossing_ OR coalesce(circle, false) OR stop_ OR give_way OR signals OR rail OR transport OR calming OR barrier_ IS NOT NULL),
 dr AS (SELECT from_id, to_id, way_id, highway, distance_cm, restricted, CASE WHEN restricted THEN 4 ELSE 7 END AS access,
     CASE WHEN k.signals THEN 'signals' WHEN k.give_way OR k.stop_ THEN 'low' WHEN way_id % 17 = 0 THEN 'high' END AS prio, coalesce(k.stop_, false) AS stop_, coalesce(k.signals, false) AS signal_,

@@ -38,6 +38,15 @@ def snk06(spark, sf_dir):
     return map_layers.cluster_lines(derived.streets(spark, sf_dir), nodes)
 
 
+def snk08(spark, sf_dir):
+    """Traffic on the halved ways as lines and records, with the dead ends of the streets."""
+    links = derived.streets(spark, sf_dir)
+    dead = routing.dead_ends(links, routing.checkpointed(routing.bridges(links)))
+    k = F.col("node")
+    nodes = dead.select(k.alias("id"), derived.latitude(k).alias("lat_e6"), derived.longitude(k).alias("lon_e6"), "dead_end")
+    return map_layers.traffic_lines(agg14(spark, sf_dir).withColumn("way_id", F.col("to_id")), nodes)
+
+
 def flt13(spark, sf_dir):
     """Which nations' boxes the tiles of half a degree show."""
     b = _borders(spark, sf_dir)
@@ -119,6 +128,7 @@ QUERIES = {
     "snk02_labelled_edges": snk02,
     "snk05_cross_country_edges": snk05,
     "snk06_cluster_lines": snk06,
+    "snk08_traffic_lines": snk08,
     "flt08_admin_relations": flt08,
     "flt13_tile_culling": flt13,
     "jon07_tiled_countries": jon07,
@@ -157,3 +167,9 @@ ORACLE_SQL = {
     "prj37_varints": f"SELECT o_orderkey, {_BYTES.format(v='o_orderkey')} AS plain, {_BYTES.format(v='CASE WHEN o_custkey < o_orderkey THEN 2 * (o_orderkey - o_custkey) - 1 ELSE 2 * (o_custkey - o_orderkey) END')} AS signed, {_BYTES.format(v='o_orderkey * 1000003 * 65537')} AS long FROM orders",
     "prj42_prj44_names": "SELECT o_orderkey, '<' || o_orderpriority || '> (w:' || o_orderkey || ' ' || o_custkey || '->' || (o_custkey + 1) || ')' AS name, floor(floor(o_totalprice) / 8 * 10.0e0 + 0.5e0) / 10.0e0 AS metres, starts_with(o_orderpriority, '1-') AS had, CASE WHEN starts_with(o_orderpriority, '1-') THEN substr(o_orderpriority, 3) ELSE o_orderpriority END AS rest FROM orders",
 }
+ORACLE_SQL["snk08_traffic_lines"] = f"""WITH RECURSIVE {derived.STREETS}, up AS (SELECT c_custkey AS k, c_custkey AS x FROM customer WHERE c_custkey > 0 UNION ALL SELECT k, x // 2 FROM up WHERE x > 1),
+t AS (SELECT x // 2 AS a, x AS b, count(*) AS visits FROM up GROUP BY x), m AS (SELECT greatest(1, (max(visits) + 9999) // 10000) AS unit FROM t),
+d AS (SELECT node, label <> (SELECT label FROM core) AS dead FROM part)
+SELECT a AS from_id, b AS to_id, {_LINE("CASE WHEN visits // unit < 1 THEN 'red25' WHEN visits // unit < 10 THEN 'red50' WHEN visits // unit < 100 THEN 'red75' ELSE 'red' END", *_AT('a'), *_AT('b'))} AS line,
+  b || ',' || {" || ',' || ".join(f"printf('%.6f', {x} / 1e6)" for x in (*_AT('a'), *_AT('b')))} || ',' || visits || ',' || CAST(x.dead OR y.dead AS INTEGER) AS record
+FROM t, m JOIN d x ON x.node = a JOIN d y ON y.node = b"""

@@ -178,14 +178,6 @@ def snk04(spark, sf_dir):
     return _located(spark, sf_dir).withColumn("kind", kind).where("kind IS NOT NULL").select("a", "b", "kind", "distance_cm")
 
 
-def snk08(spark, sf_dir):
-    """Traffic in color buckets by a 10000th of the largest."""
-    t = _edges(spark, sf_dir).groupBy("way_id").agg(F.sum("maxspeed").alias("visits"))
-    top = t.agg(F.max("visits").alias("most"))
-    part = F.col("visits") / F.col("most")
-    return t.join(F.broadcast(top)).select("way_id", "visits", F.when(part > 0.5, "red").when(part > 0.1, "orange").otherwise("green").alias("color"))
-
-
 def src11(spark, sf_dir):
     n = derived.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("pos"), F.concat(F.upper(F.substring("n_name", 1, 2)), F.lit(":"), F.lit("motor*,trunk"), F.lit(" speed_max="), (F.col("n_nationkey") * 5 + 10).cast("string"), F.lit("  # rule")).alias("value"))
     r = layers.routing_rules(n)
@@ -236,7 +228,6 @@ QUERIES = {
     "srt03_seeded_limit": srt03,
     "srt04_longitude_index": srt04,
     "snk04_restricted_roads": snk04,
-    "snk08_traffic_colors": snk08,
     "src11_routing_rules": src11,
     "src12_country_list": src12,
     "ext_event_windows": ext_stream,
@@ -296,7 +287,6 @@ ORACLE_SQL = {
     "srt03_seeded_limit": "SELECT event_id AS id, md5(event_id || '-1') AS draw FROM events ORDER BY draw, id LIMIT 50",
     "srt04_longitude_index": f"WITH {derived.LINKS}, {derived.NODES} SELECT id, row_number() OVER (ORDER BY lon_e6, id) - 1 AS at FROM nodes",
     "snk04_restricted_roads": f"{LOCATED}, k AS (SELECT a, b, distance_cm, CASE WHEN restricted THEN 'restricted' WHEN highway = 15 THEN 'service' WHEN highway = 12 THEN 'residential' WHEN highway = 13 THEN 'unclassified' END AS kind FROM located) SELECT * FROM k WHERE kind IS NOT NULL",
-    "snk08_traffic_colors": f"{E}, t AS (SELECT way_id, CAST(sum(maxspeed) AS BIGINT) AS visits FROM edges GROUP BY way_id), m AS (SELECT max(visits) AS most FROM t) SELECT way_id, visits, CASE WHEN visits / most > 0.5 THEN 'red' WHEN visits / most > 0.1 THEN 'orange' ELSE 'green' END AS color FROM t, m",
     "src11_routing_rules": "SELECT n_nationkey AS pos, upper(substr(n_name, 1, 2)) AS countries, 'motor*+trunk' AS selectors, CAST(n_nationkey * 5 + 10 AS INTEGER) AS speed_max FROM nation",
     "src12_country_list": "SELECT DISTINCT upper(substr(n_name, 1, 2)) AS code FROM nation",
     "ext_event_windows": "SELECT time_bucket(INTERVAL 5 MINUTE, ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
