@@ -224,3 +224,23 @@ def test_pipeline_stages(spark, tmp_path):
     wanted = pieces.load(path).processor.encode(rows[-1][1].replace("token = deadbeef99", "[REDACTED]"))
     assert got[103].ids == wanted and sentencepiece_codec.codec(path).decode(np.array(wanted)).endswith("[REDACTED]")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "simhash_dedup", "decontamination", "secret_scans", "sentencepiece"]
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(41)
+    stems = "the of and that thing over water house people other would their about which there".split()
+    text = lambda n: " ".join(rng.choice(stems) + "abcdefgh"[rng.randrange(8)] for _ in range(n))
+    same = text(60)
+    rows = [(n, text(60)) for n in range(30)] + [(50, None), (51, ""), (52, "123 456"), (53, text(20_000)), (7, text(60)), (60, same), (61, same), (61, same), (None, same), (None, text(60))]
+    columns = "doc_id long, text string, lang string, source string, n_chars long, fp long, key string, _kept long, hit string"
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, 1, "k", 2, "h") for i, t in rows], columns)
+    bench = spark.createDataFrame([(1, "entirely different words of a benchmark that nobody else has said before")], "item_id long, text string")
+    for name, frame_ in (("whole", docs), ("empty", docs.where("false"))):
+        folder = f"{tmp_path}/{name}"
+        frame_.write.parquet(f"{folder}/documents.parquet")
+        bench.write.parquet(f"{folder}/benchmark.parquet")
+        got = sorted([r.doc_id for r in corpus_pipeline.run(spark, folder).collect()], key=repr)
+        wanted = [*range(30), 53, 7, 60, None] if name == "whole" else []
+        assert got == sorted(wanted, key=repr)
