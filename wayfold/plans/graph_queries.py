@@ -283,8 +283,11 @@ NEED = """need AS (
   UNION SELECT w.ref FROM ways w JOIN (SELECT way_id, ref, min(pos) AS lo, max(pos) AS hi FROM ways GROUP BY way_id, ref HAVING count(*) > 1) t ON w.way_id = t.way_id AND w.pos BETWEEN lo AND hi)"""
 COMP = f"""WITH RECURSIVE {derived.LINKS},
 sym AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
-reach AS (SELECT a AS node, a AS label FROM sym UNION SELECT s.b, r.label FROM reach r JOIN sym s ON r.node = s.a WHERE r.label < s.b),
-comp AS (SELECT node, min(label) AS component FROM reach GROUP BY node),
+reach(node, label) USING KEY (node) AS (
+  SELECT DISTINCT a AS node, a AS label FROM sym
+  UNION
+  SELECT s.b, min(r.label) FROM reach r JOIN sym s ON r.node = s.a JOIN recurring.reach o ON o.node = s.b WHERE r.label < o.label GROUP BY s.b),
+comp AS (SELECT node, label AS component FROM reach),
 sized AS (SELECT node, component, count(*) OVER (PARTITION BY component) AS size FROM comp)"""
 WEIGHTED = f"{E}, weighted AS (SELECT from_id, to_id, 36 * distance_cm // maxspeed AS weight FROM edges WHERE NOT inverted)"
 
