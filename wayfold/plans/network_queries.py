@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import scalars
 from wayfold.operators import clusters, geo, restrictions, road_graph, routing
-from wayfold.plans.graph_queries import COMP, WP, E, _edges, _located, _weighted
+from wayfold.plans.graph_queries import COMP, WP, E, _edges, _located
 from wayfold.plans.tag_queries import LOCATED
 from wayfold.sources import derived, layers
 
@@ -122,13 +122,15 @@ def grf08(spark, sf_dir):
 
 
 def grf22(spark, sf_dir):
-    links = derived.links(spark, sf_dir).select("a", "b", F.lit(1).cast("long").alias("weight"))
-    return clusters.louvain(links)
+    return clusters.louvain(derived.streets(spark, sf_dir).select("a", "b", F.lit(1).cast("long").alias("weight")))
 
 
 def grf39(spark, sf_dir):
-    own = routing.components(derived.links(spark, sf_dir)).select("node", (F.col("node") % 5).alias("cluster"))
-    return clusters.cluster_paths(_weighted(spark, sf_dir), own)
+    """Ways between the border nodes of each nation's streets, inside it."""
+    links = derived.streets(spark, sf_dir)
+    edges = links.select(F.col("a").alias("from_id"), F.col("b").alias("to_id")).unionAll(links.select("b", "a")).distinct().withColumn("weight", F.col("from_id") + F.col("to_id"))
+    own = derived.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node"), F.col("c_nationkey").cast("long").alias("cluster"))
+    return clusters.cluster_paths(edges, own)
 
 
 def grf53(spark, sf_dir):
