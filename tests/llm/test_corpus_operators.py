@@ -202,6 +202,38 @@ def test_top_k_is_exact(spark):
     assert topk_search.top_k(table.where("false"), F.col("id") % 50 == 0).collect() == []
 
 
+def test_top_k_sends_each_vector_once_a_cell(spark, monkeypatch):
+    """Neither shards nor blocks are repeated for every pair of them, and lists come once a region."""
+    rng = random.Random(37)
+    rows = [(n, [rng.gauss(0, 1) for _ in range(8)]) for n in range(3000)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    seen, tiles = [], topk_search._tiles
+    monkeypatch.setattr(topk_search, "_tiles", lambda given, *rest: seen.append((given, tiles(given, *rest))) or seen[-1][1])
+    got = topk_search.top_k(table, F.col("id") % 50 == 0, block=4, shard=64)
+    assert sorted(map(tuple, got.collect())) == brute_top(rows)
+    regions = -(-3000 // 64)
+    assert seen[0][0].select(F.sum(F.length("matrix"))).first()[0] <= 8 * 8 * (3000 + 60 * regions)
+    assert seen[0][1].count() <= 60 * 5 * regions
+
+
+def test_top_k_in_groups_with_copies_and_odd_rows(spark):
+    rng = random.Random(43)
+    most = 2**63 - 1
+    same = [0.25, -0.5, 0.125]
+    rows = [(n, same if n % 3 else [rng.gauss(0, 1) for _ in range(3)]) for n in range(-60, 400)]
+    rows += [(7, same), (7, same), (7, [9.0, -9.0, 9.0]), (most, same), (most - 1, [200.0, -300.0, 1.0]), (500, [1e6, 2e6, -3e6]), (501, [1e7, 0.0, -1e7])]
+    rows += [(600, [1.0, 2.0]), (650, []), (651, []), (700, [1.0, 2.0, 3.0, 4.0]), (most - 2, [1.0, 2.0, 3.0, 4.0]), (750, [1.0, None, 2.0]), (800, None)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asks = F.col("id") % 50 == 0
+    assert topk_search._shape(topk_search._given(table, "vec_id", "embedding"), asks, 5, 9, 500)[0] > 4
+    for block, shard, group in ((512, 4096, topk_search.GROUP), (512, 4096, 500), (2, 9, 500), (1, 1, 10**9)):
+        got = topk_search.top_k(table, asks, block=block, shard=shard, group=group)
+        assert sorted(map(tuple, got.collect())) == brute_top(rows)
+    whole = [(n, [rng.randint(-3, 3) for _ in range(4)]) for n in range(120)]
+    got = topk_search.top_k(spark.createDataFrame(whole, "vec_id int, embedding array<int>"), asks, k=200)
+    assert sorted(map(tuple, got.collect())) == brute_top(whole, 200)
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
