@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfold.operators.road_graph import dense_index
+
 # Colors of clusters, by color number.
 CLUSTER_COLORS = (
     "blue", "dgreen", "orange", "yel", "brown", "violet", "lblue", "dred", "green", "red", "grey", "gblue", "lgreen", "greenbl",
@@ -87,18 +89,25 @@ def border_twins(edges: DataFrame, clusters: DataFrame) -> DataFrame:
     own = clusters.select(F.col("node").alias("from_id"), F.col("cluster").alias("out_cluster"))
     other = clusters.select(F.col("node").alias("to_id"), F.col("cluster").alias("in_cluster"))
     crossing = edges.select("from_id", "to_id", "way_id").join(own, "from_id").join(other, "to_id").where("out_cluster <> in_cluster")
-    place = lambda c: (F.row_number().over(Window.partitionBy(c).orderBy("from_id", "to_id", "way_id")) - 1)
-    return crossing.select("from_id", "to_id", "way_id", "out_cluster", "in_cluster", place("out_cluster").alias("out_pos"), place("in_cluster").alias("in_pos"))
+    for cluster, name in (("out_cluster", "out_pos"), ("in_cluster", "in_pos")):
+        crossing = dense_index(crossing, "from_id", name, ties=("to_id", "way_id"), within=(cluster,))
+    return crossing.select("from_id", "to_id", "way_id", "out_cluster", "in_cluster", *[F.col(c).cast("int").alias(c) for c in ("out_pos", "in_pos")])
 
 
-def found_edges(ordered: DataFrame, wanted: DataFrame) -> DataFrame:
+def found_edges(edges: DataFrame, wanted: DataFrame, pieces: int = 1) -> DataFrame:
     """from_id, to_id, way_id, n (edges between them, either way), off (of the first driven one; null without).
 
-    ``ordered``: of ``ordered_edges``; ``wanted``: from_id, to_id, way_id.
+    ``edges``: from_id, to_id, way_id, inverted; ``wanted``: from_id, to_id, way_id.
+    Both meet at their first node, in ``pieces`` partitions: edges get their
+    offsets there and are looked up there, with one exchange.
     """
     keys = ["from_id", "to_id", "way_id"]
-    by = ordered.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(F.when(~F.col("inverted"), F.col("off"))).alias("off"))
-    return wanted.select(*keys).distinct().join(by, keys, "left").select(*keys, F.coalesce("n", F.lit(0)).cast("long").alias("n"), "off")
+    both = edges.select(*keys, "inverted", F.lit(False).alias("asked")).unionAll(wanted.select(*keys, F.lit(None).cast("boolean"), F.lit(True)))
+    # what is asked for comes behind all edges of its node and leaves their offsets alone
+    order = Window.partitionBy("from_id").orderBy("asked", "inverted", "to_id", "way_id")
+    placed = both.repartition(pieces, "from_id").withColumn("off", F.row_number().over(order) - 1)
+    by = placed.groupBy(*keys).agg(F.count_if(~F.col("asked")).alias("n"), F.min(F.when(~F.col("asked") & ~F.col("inverted"), F.col("off"))).alias("off"), F.max("asked").alias("asked"))
+    return by.where("asked").select(*keys, "n", "off")
 
 
 def countries_of_relations(relations: DataFrame) -> DataFrame:

@@ -70,12 +70,11 @@ def jon14(spark, sf_dir):
 
 def grf03(spark, sf_dir):
     """Edges from customers to the parts of their orders' first lines, and the way back."""
-    ordered = road_graph.ordered_edges(_edges(spark, sf_dir))
     o = derived.table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") * 2).alias("x"))
     l = derived.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_partkey") * 2 + 1).alias("y"))
     met = l.join(o, "o_orderkey")
     wanted = met.select(F.col("x").alias("from_id"), F.col("y").alias("to_id"), F.col("o_orderkey").alias("way_id")).unionAll(met.select("y", "x", "o_orderkey"))
-    return map_layers.found_edges(ordered, wanted)
+    return map_layers.found_edges(_edges(spark, sf_dir), wanted, derived.pieces(spark, sf_dir))
 
 
 def agg14(spark, sf_dir):
