@@ -112,9 +112,9 @@ def agg16(spark, sf_dir):
 
 def grf08(spark, sf_dir):
     """Regions of links between restricted ones, labelled by size and what they touch."""
-    links = derived.links(spark, sf_dir)
+    links = routing.checkpointed(derived.links(spark, sf_dir).select("a", "b", "restricted", "highway"))
     plain = links.where("NOT restricted")
-    comp = routing.connected_components(plain.select("a", "b"), checkpoint=routing.checkpointed)
+    comp = routing.contracted_components(plain.select("a", "b"), checkpoint=routing.checkpointed)
     edges = plain.join(comp.select(F.col("node").alias("a"), F.col("component").alias("region")), "a").select("region", (F.col("highway") >= 11).alias("residential"))
     ends = links.where("restricted").select(F.explode(F.array("a", "b")).alias("node")).distinct()
     touched = comp.join(ends, "node", "left_semi").select(F.col("component").alias("region"))
@@ -152,7 +152,9 @@ def win09(spark, sf_dir):
     own, other = _clusters(spark, sf_dir), _clusters(spark, sf_dir)
     e = _edges(spark, sf_dir).where("NOT inverted").select("from_id", "to_id", "way_id")
     out = e.join(own.select(F.col("node").alias("from_id"), "cluster"), "from_id").join(other.select(F.col("node").alias("to_id"), F.col("cluster").alias("other")), "to_id").where("cluster <> other")
-    return out.select("cluster", "from_id", "to_id", (F.row_number().over(Window.partitionBy("cluster").orderBy("from_id", "to_id")) - 1).alias("place"))
+    # a cluster has too many edges for one task's sort
+    ranked = road_graph.dense_index(out.select("cluster", "from_id", "to_id"), "from_id", "place", ties=("to_id",), within=("cluster",))
+    return ranked.select("cluster", "from_id", "to_id", F.col("place").cast("int").alias("place"))
 
 
 def win10(spark, sf_dir):
@@ -166,7 +168,7 @@ def srt03(spark, sf_dir):
 
 
 def srt04(spark, sf_dir):
-    return road_graph.dense_index(derived.nodes(derived.links(spark, sf_dir)).select((F.col("lon_e6").cast("long") * 1_000_000 + F.col("id")).alias("place"), "id"), "place", "at").select("id", "at")
+    return road_graph.dense_index(derived.nodes(derived.links(spark, sf_dir)).select("lon_e6", "id"), "lon_e6", "at", ties=("id",)).select("id", "at")
 
 
 def set02(spark, sf_dir):
